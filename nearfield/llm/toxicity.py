@@ -31,8 +31,8 @@ from nearfield.llm.kernels import ALNUM, U64, Texts, lower, mix64, seeds, small_
 
 HASH_BITS = 20
 PER_CLASS = 4096
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.0, 1.0
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
 #: Distance between the two words of a pair; 1 is a bigram, 2 and 3 are skip-grams.
 PAIRS = (1, 2, 3)
 
