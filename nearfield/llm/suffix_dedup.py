@@ -44,6 +44,7 @@ from nearfield.llm.suffix_sort import deep_shallow
 
 HOT = 256
 _TOGETHER = 2000
+_OFFSETS = 16
 _NO_ID = -(1 << 63)
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -120,12 +121,12 @@ CONTEXTS = "gram long, span long, copies long, omin int, omax int, hot boolean,
 
 def _contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes around one anchor of each class: reversed before it, and from it on."""
-    by_text = wanted.groupBy("rid", "th").agg(F.collect_list(F.struct("gram", "span", "copies", "omin", "omax", "hot", "pos")).alias("classes"))
+    by_text = wanted.groupBy(F.col("rid").alias(_RID), F.col("th").alias(_TH)).agg(F.collect_list(F.struct("gram", "span", "copies", "omin", "omax", "hot", "pos")).alias("__nf_classes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             texts = texts_of(batch.column("text"))
-            lists = batch.column("classes")
+            lists = batch.column("__nf_classes")
             flat = lists.flatten()
             text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
             pos, least, most = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("pos", "omin", "omax"))
@@ -136,7 +137,7 @@ def _contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             names = [x.split()[0] for x in CONTEXTS.split(", ")]
             yield pa.RecordBatch.from_arrays([*(flat.field(x) for x in names[:6]), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names)
 
-    return rows.join(by_text, ["rid", "th"]).mapInArrow(run, CONTEXTS)
+    return rows.join(by_text, [_RID, _TH]).mapInArrow(run, CONTEXTS)
 
 
 def shared_offsets(before: list[bytes], after: list[bytes], copies: np.ndarray, least: np.ndarray, most: np.ndarray, length: int) -> list[list[int]]:
@@ -206,37 +207,77 @@ def _sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _whole_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """Decides the classes of hot grams, by keys that are whole windows."""
-    names = "gram long, span long, o int, copies long, w1 long, w2 long"
+    """Decides the classes of hot grams, by keys that lengthen up to whole windows.
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Offsets are taken in blocks.  All windows of a block share its core, and its
+    hull holds them all.  Equal hulls are combined; a core with one hull is
+    decided by how often that occurs.  Only for cores with several hulls are the
+    windows keyed one by one, once for each hull.
+    """
+    contexts = stage(contexts.select("gram", "span", "copies", "omin", "omax", "before", "after"), "contexts")
+    digest = xxhash.xxh3_128_digest
+    class_names = ["gram", "span"]
+
+    def pair(keys: list[bytes], j: int) -> pa.Array:
+        return pa.array(np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)[:, j].copy())
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 500):
-                batch = whole.slice(first, 500)
-                row, offset, digest = [], [], []
-                for i, (a, b, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("omin", "omax", "before", "after")), strict=True)):
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                row, first, last, cores, hulls = [], [], [], [], []
+                for i, (least, most, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("omin", "omax", "before", "after")), strict=True)):
                     span = x[::-1] + y
-                    for o in range(a, b + 1):
+                    for low in range(least // _OFFSETS * _OFFSETS, most + 1, _OFFSETS):
+                        high = low + _OFFSETS - 1
+                        a, b = max(low, least), min(high, most)
                         row.append(i)
-                        offset.append(o)
-                        digest.append(xxhash.xxh3_128_digest(span[b - o : b - o + length]))
-                keys = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-                at = pa.array(row, pa.int32())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("gram", "span")), pa.array(offset, pa.int32()), batch.column("copies").take(at), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], [x.split()[0] for x in names.split(", ")])
-
-    windows = stage(contexts.mapInArrow(explode, names), "windows")
-    repeated = stage(windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("w1", "w2"), "repeated")
-    found = windows.join(repeated, ["w1", "w2"]).groupBy("gram", "span").agg(F.sort_array(F.collect_set("o")).alias("os"))  # at most ``length`` offsets
-    starts = F.filter("os", lambda o: ~F.array_contains("os", o - 1))
-    ends = F.filter("os", lambda o: ~F.array_contains("os", o + 1))
-    return found.select("gram", "span", F.flatten(F.zip_with(starts, ends, lambda a, b: F.array(a, b))).alias("offsets"))
+                        first.append(a)
+                        last.append(b)
+                        cores.append(digest(span[most - low : most - high + length], low))
+                        hulls.append(digest(span[most - b : most - a + length], a << 16 | b))
+                columns = [*(batch.column(c).take(pa.array(row, pa.int32())) for c in (*class_names, "copies")), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
+                columns += [pair(cores, 0), pair(cores, 1), pair(hulls, 0), pair(hulls, 1)]
+                yield pa.RecordBatch.from_arrays(columns, [*class_names, "copies", "first", "last", "c1", "c2", "h1", "h2"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                row, offset, copies, keys = [], [], [], []
+                for i, (most, x, y, opened) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("omax", "before", "after", "opened")), strict=True)):
+                    span = x[::-1] + y
+                    for block in opened:
+                        for o in range(block["first"], block["last"] + 1):
+                            row.append(i)
+                            offset.append(o)
+                            copies.append(block["n"])
+                            keys.append(digest(span[most - o : most - o + length]))
+                columns = [*(batch.column(c).take(pa.array(row, pa.int32())) for c in class_names), pa.array(offset, pa.int32()), pa.array(copies, pa.int64()), pair(keys, 0), pair(keys, 1)]
+                yield pa.RecordBatch.from_arrays(columns, [*class_names, "o", "n", "w1", "w2"])
+
+    rows = stage(contexts.mapInArrow(blocks, "gram long, span long, copies long, first int, last int, c1 long, c2 long, h1 long, h2 long"), "blocks")
+    hulls = rows.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.min(F.struct("gram", "span", "first", "last", "c1", "c2")).alias("p"))
+    hulls = stage(hulls.select("h1", "h2", "n", "p.*"), "hulls")
+    whole = rows.join(stage(hulls.where("n > 1").select("h1", "h2"), "repeated"), ["h1", "h2"]).select("gram", "span", F.array("first", "last").alias("offsets"))
+    cores = stage(hulls.groupBy("c1", "c2").agg(F.count("*").alias("hulls")).where("hulls > 1").select("c1", "c2"), "cores")
+    opened = hulls.join(cores, ["c1", "c2"]).groupBy("gram", "span").agg(F.collect_list(F.struct("first", "last", "n")).alias("opened"))  # at most length / _OFFSETS
+    keyed = stage(contexts.join(stage(opened, "opened"), ["gram", "span"]).mapInArrow(windows, "gram long, span long, o int, n long, w1 long, w2 long"), "windows")
+    seen = stage(keyed.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "windows-seen")
+    # a hull that occurs once is of one class, the one that its windows were keyed for
+    single = keyed.where("n = 1").join(seen, ["w1", "w2"]).select("gram", "span", F.array("o", "o").alias("offsets"))
+    return whole.unionByName(single)
+
+
+#: Names of columns added on the way; no table is expected to have them.
+SPANS, _RID, _TH = "__nf_spans", "__nf_rid", "__nf_th"
 
 
 def with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` with ``spans``: repeated byte runs (b, e) of each text, sorted; they may overlap."""
+    """``docs`` with SPANS: repeated byte runs (b, e) of each text, sorted; they may overlap."""
     rows = docs.withColumn("text", docs["text"].cast("string"))
-    rows = rows.withColumns({"rid": F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)), "th": F.xxhash64("text")})
-    found = _anchor_rows(rows, length)
+    rows = rows.withColumns({_RID: F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)), _TH: F.xxhash64("text")})
+    found = _anchor_rows(rows.select(F.col(_RID).alias("rid"), F.col(_TH).alias("th"), "text"), length)
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
     grams = stage(grams.where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed")), "grams")
     found = stage(found.join(grams, "gram"), "anchors")
@@ -246,14 +287,15 @@ def with_spans(docs: DataFrame, length: int) -> DataFrame:
     classes = stage(found.where("mixed").groupBy("gram", "span").agg(F.count("*").alias("copies"), F.min(place).alias("p")).select("gram", "span", "copies", "p.*"), "classes")
     many = stage(classes.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram", F.lit(True).alias("hot")), "hot")
     wanted = stage(classes.join(many, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "wanted")
-    contexts = _contexts(rows, wanted, length)
-    decided = _sorted_buckets(contexts.where("not hot"), length)
+    decided = _sorted_buckets(_contexts(rows, wanted.where("not hot"), length), length)
     if many.limit(1).count():
         decided = decided.unionByName(_whole_windows(_contexts(rows, wanted.where("hot"), length), length))
     back = found.where("mixed").join(decided, ["gram", "span"]).select("rid", "th", "pos", F.explode(_pairs(F.col("offsets"))).alias("o"))
     back = back.select("rid", "th", (F.col("pos") - F.col("o.last")).alias("b"), (F.col("pos") - F.col("o.first") + length).alias("e"))
-    spans = whole.unionByName(back).groupBy("rid", "th").agg(F.sort_array(F.collect_list(F.struct("b", "e"))).alias("parts"))
-    return rows.join(spans, ["rid", "th"], "left").withColumn("spans", F.coalesce("parts", F.array().cast("array<struct<b:int,e:int>>"))).select(*docs.columns, "spans")
+    spans = whole.unionByName(back).groupBy("rid", "th").agg(F.sort_array(F.collect_list(F.struct("b", "e"))).alias("__nf_parts"))
+    spans = spans.withColumnsRenamed({"rid": _RID, "th": _TH})
+    out = rows.join(spans, [_RID, _TH], "left").withColumn(SPANS, F.coalesce("__nf_parts", F.array().cast("array<struct<b:int,e:int>>")))
+    return out.select(*docs.columns, SPANS)
 
 
 def _pairs(offsets: Column) -> Column:
@@ -276,7 +318,7 @@ def removed(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def _cut(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, int]]:
-    for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+    for text, spans in zip(batch.column("text"), batch.column(SPANS).to_pylist(), strict=True):
         raw = b"" if not text.is_valid else text.as_buffer().to_pybytes()
         yield raw, *removed(raw, [(s["b"], s["e"]) for s in spans])
 
