@@ -41,7 +41,7 @@ from nearfield.llm.kernels import small_batches
 
 SPACE = "▁"
 UNKNOWN = -25.0
-_GENERATION = 250_000
+_GENERATION = 150_000
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -122,13 +122,16 @@ class Pieces:
                 out.extend([self.bytes[x] for x in unit[a:b].encode("utf-8", "surrogatepass")])
         return out.tobytes()
 
+    def _searched(self, text: str) -> list[tuple[float, bytes]]:
+        return [(s, self._ids_of(text, cuts)) for s, cuts in islice(self.segmentations(text), self.nbest)]
+
     def unit(self, text: str) -> list[tuple[float, bytes]]:
         """The n best of a unit: (score, ids), best first."""
         found = self.young.get(text)
         if found is None:
             found = self.old.get(text)
             if found is None:
-                found = [(s, self._ids_of(text, cuts)) for s, cuts in islice(self.segmentations(text), self.nbest)]
+                found = self._searched(text)
             if len(self.young) >= _GENERATION:
                 self.old, self.young = self.young, {}
             self.young[text] = found
@@ -151,7 +154,8 @@ class Pieces:
         if found is None:
             found = self.old_words.get(word)
             if found is None:
-                parts = [self.unit(u) for u in self.units(word)]
+                cut = self.units(word)
+                parts = [self.unit(u) for u in cut] if len(cut) > 1 else [self._searched(word)]
                 found = (sum(p[0][0] for p in parts), b"".join([p[0][1] for p in parts]), parts)
             if len(self.young_words) >= _GENERATION:
                 self.old_words, self.young_words = self.young_words, {}
