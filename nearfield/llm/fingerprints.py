@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.kernels import Texts, shingle_sets, small_batches, texts_of
+from nearfield.llm.kernels import GOLDEN, U64, Texts, mix64, shingle_sets, small_batches, texts_of
 from nearfield.llm.minhash import signature
 
 WORDS, BINS, BITS = 5, 512, 4
 
 
 def _pack(sig: np.ndarray) -> str:
-    low = (sig & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    # each bin draws its bits anew, so that few borrowed values don't all agree by one chance
+    low = (mix64(sig ^ np.arange(1, BINS + 1, dtype=U64) * GOLDEN) & U64((1 << BITS) - 1)).astype(np.uint8)
     bits = np.unpackbits(low[:, None], axis=1, bitorder="little", count=BITS)
     return base64.b64encode(np.packbits(bits.ravel(), bitorder="little")).decode()
 

@@ -76,6 +76,8 @@ class Model:
 def fit(examples: list[tuple[np.ndarray, int]], share: float) -> Model:
     """FTRL-proximal over (distinct features, label); ``share`` is the positives' share in the population."""
     size = 1 << HASH_BITS
+    if not examples:
+        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), _logit(share))
     z, n = np.zeros(size), np.zeros(size)
     bias_z = bias_n = 0.0
     order = np.random.default_rng(7)
