@@ -42,6 +42,8 @@ from nearfield.llm.kernels import small_batches
 SPACE = "▁"
 UNKNOWN = -25.0
 _GENERATION = 150_000
+#: More than sums of the same scores in another order can differ.
+_ROUNDING = 1e-6
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -67,9 +69,14 @@ class Pieces:
                 continue
             self.ids[name] = i
             self.score[name] = -math.log(min(-raw[i], size) + 1) if ranked else raw[i]
-        #: Every beginning of a piece; with the score where it is a piece itself.
-        self.prefixes: dict[str, float | None] = {name[:i]: None for name in self.ids for i in range(1, len(name))}
-        self.prefixes |= self.score
+        #: By its first character, the score of each piece (None: only a beginning of one) and what may follow.
+        self.trie: dict[str, tuple[float | None, dict]] = {}
+        for name, score in self.score.items():
+            node = self.trie
+            for letter in name[:-1]:
+                node = node.setdefault(letter, (None, {}))[1]
+            node[name[-1]] = (score, node[name[-1]][1] if name[-1] in node else {})
+        self.longest = max(map(len, self.ids), default=0)
         self.joined = {name[i : i + 2] for name in self.ids for i in range(len(name) - 1)}
         self.young: dict[str, list] = {}
         self.old: dict[str, list] = {}
@@ -79,41 +86,65 @@ class Pieces:
     def lattice(self, unit: str) -> tuple[list[list[tuple[int, float]]], list[float]]:
         """For each position the (start, score) of the pieces that end there, and
         its forward Viterbi score: that of the best path from the start."""
-        n, known = len(unit), self.prefixes
+        n, trie = len(unit), self.trie
         into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for start in range(n):
-            single = False
-            for end in range(start + 1, n + 1):
-                s = known.get(unit[start:end], 0)
-                if s is None:  # the start of a piece, but none itself
-                    continue
-                if s == 0:
+        best = [-math.inf] * (n + 1)
+        best[0] = 0.0
+        for start, letter in enumerate(unit):
+            here, node, end = best[start], trie, start
+            if letter not in trie or trie[letter][0] is None:
+                s = UNKNOWN * len(letter.encode("utf-8", "surrogatepass"))
+                into[start + 1].append((start, s))
+                best[start + 1] = max(best[start + 1], here + s)
+            for following in unit[start : start + self.longest]:
+                found = node.get(following)
+                if found is None:
                     break
-                into[end].append((start, s))
-                single |= end == start + 1
-            if not single:
-                into[start + 1].append((start, UNKNOWN * len(unit[start].encode("utf-8", "surrogatepass"))))
-        best = [0.0] * (n + 1)
-        for end in range(1, n + 1):
-            best[end] = max([best[start] + s for start, s in into[end]])
+                s, node = found
+                end += 1
+                if s is not None:  # else it is only the beginning of a piece
+                    into[end].append((start, s))
+                    if here + s > best[end]:
+                        best[end] = here + s
         return into, best
 
-    def segmentations(self, unit: str) -> Iterator[tuple[float, tuple[int, ...]]]:
-        """(score, cuts) of all segmentations, best first: A-star from the end back."""
+    def segmentations(self, unit: str, most: int | None = None) -> Iterator[tuple[float, tuple[int, ...]]]:
+        """(score, cuts) of all segmentations, best first: A-star from the end back.
+
+        With ``most`` only so many are wanted: as each entry of the queue stands for
+        a segmentation of its own, of exactly its score, one that ``most`` others
+        surely beat is not queued.
+        """
         into, best = self.lattice(unit)
         queue: list[tuple[float, tuple[int, ...], float]] = [(-best[-1], (len(unit),), 0.0)]
         push, pop = heapq.heappush, heapq.heappop
+        rivals: list[float] = []  # the most - 1 best scores beside the best one
+        least = -math.inf if most is None or most > 1 else best[-1] - _ROUNDING
         while queue:
             _, cuts, done = pop(queue)
             at = cuts[0]
             if not at:
                 yield done, cuts
                 continue
+            fresh = []
             for start, s in into[at]:
-                push(queue, (-(best[start] + s + done), (start, *cuts), s + done))
+                score = best[start] + s + done
+                if score >= least:
+                    push(queue, (-score, (start, *cuts), s + done))
+                    fresh.append(score)
+            if len(fresh) > 1 and most is not None and most > 1:
+                # one of them goes on with the entry's own segmentation, the others are new
+                fresh.remove(max(fresh))
+                rivals = sorted(rivals + fresh, reverse=True)[: most - 1]
+                if len(rivals) == most - 1:
+                    least = rivals[-1] - _ROUNDING
 
     def _ids_of(self, unit: str, cuts: tuple[int, ...]) -> bytes:
-        out, ids = array("i"), self.ids
+        ids = self.ids
+        found = [ids.get(unit[a:b]) for a, b in pairwise(cuts)]
+        if None not in found:
+            return array("i", found).tobytes()
+        out = array("i")
         for a, b in pairwise(cuts):
             i = ids.get(unit[a:b])
             if i is not None:
@@ -123,7 +154,7 @@ class Pieces:
         return out.tobytes()
 
     def _searched(self, text: str) -> list[tuple[float, bytes]]:
-        return [(s, self._ids_of(text, cuts)) for s, cuts in islice(self.segmentations(text), self.nbest)]
+        return [(s, self._ids_of(text, cuts)) for s, cuts in islice(self.segmentations(text, self.nbest), self.nbest)]
 
     def unit(self, text: str) -> list[tuple[float, bytes]]:
         """The n best of a unit: (score, ids), best first."""
@@ -131,7 +162,8 @@ class Pieces:
         if found is None:
             found = self.old.get(text)
             if found is None:
-                found = self._searched(text)
+                word = self.young_words.get(text)  # a word of this one unit
+                found = word[2][0] if word is not None and len(word[2]) == 1 else self._searched(text)
             if len(self.young) >= _GENERATION:
                 self.old, self.young = self.young, {}
             self.young[text] = found
@@ -155,7 +187,7 @@ class Pieces:
             found = self.old_words.get(word)
             if found is None:
                 cut = self.units(word)
-                parts = [self.unit(u) for u in cut] if len(cut) > 1 else [self._searched(word)]
+                parts = [self.unit(u) for u in cut] if len(cut) > 1 else [self.young.get(word) or self._searched(word)]
                 found = (sum(p[0][0] for p in parts), b"".join([p[0][1] for p in parts]), parts)
             if len(self.young_words) >= _GENERATION:
                 self.old_words, self.young_words = self.young_words, {}
