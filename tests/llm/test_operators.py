@@ -186,6 +186,26 @@ def test_language(spark):
     assert total.sum() == pytest.approx(1, abs=0.35)  # the rest is for characters not seen
 
 
+def test_language_keeps_rare_grams_of_all_languages(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(i, prose(r, 40), "aa") for i in range(60)] + [(100 + i, "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(30)), "cc") for i in range(6)] + [(200, "xyzw vuts", "rare")]
+    rows = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {}
+    for lang in {x[2] for x in rows}:
+        key, inside = language.grams(*language.characters([x[1] for x in rows if x[2] == lang]), language.ORDER)
+        counts[lang] = np.unique(key[inside], return_counts=True)
+    whole = language.estimate(counts)
+    monkeypatch.setattr(language, "MAX_GRAMS", 300)  # far fewer than there are
+    model = language.train(docs)
+    assert model.languages == whole.languages == ["aa", "cc", "rare"] and len(model.shards) > 3
+    grams = np.unique(np.concatenate([k for k, _ in counts.values()]))
+    grams = np.concatenate([grams, grams[:500] ^ np.uint64(5), grams[-500:] ^ np.uint64(7 << 24)])
+    assert np.allclose(model.log_probabilities(grams), whole.log_probabilities(grams), atol=1e-4)
+    made = {x.doc_id: x for x in language.predict(docs.drop("lang"), model).collect()}
+    assert all(made[i].lang_pred == lang for i, _, lang in rows)
+
+
 def test_html(spark):
     trees = html_text.trained()
     r = random.Random(77)
