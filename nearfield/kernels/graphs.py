@@ -63,7 +63,10 @@ def diverse(candidates: list[tuple[float, int]], between: Callable[[int, np.ndar
 
 
 class Layered:
-    """HNSW: each row on ``floor(-ln(U) / ln(M))`` upper layers."""
+    """HNSW: each row on ``floor(-ln(U) / ln(M))`` upper layers.
+
+    Where the diverse neighbours leave places free, the nearest others take them.
+    """
 
     def __init__(self, m: int = 16, m0: int | None = None, ef_construction: int = 100, max_level: int = 8, seed: int = 7) -> None:
         self.m, self.m0 = m, m0 or 2 * m
@@ -84,6 +87,12 @@ class Layered:
         none = np.zeros(0, np.int64)
         return lambda i: graph.get(i, none)
 
+    @staticmethod
+    def _chosen(candidates: list[tuple[float, int]], between: Callable, limit: int) -> list[int]:
+        taken = diverse(candidates, between, limit)
+        own = set(taken)
+        return taken + [i for _, i in candidates if i not in own][: limit - len(taken)]
+
     def _insert(self, i: int, level: int, distance: Distance, between: Callable) -> None:
         top = len(self.layers) - 1
         at = [self.entry]
@@ -93,13 +102,13 @@ class Layered:
         for layer in range(min(level, top), -1, -1):
             found = beam(at, self._near(layer), distance, self.ef, self.n)
             limit = self.m0 if layer == 0 else self.m
-            chosen = diverse(found, between, self.m)
+            chosen = self._chosen(found, between, self.m)
             self.layers[layer][i] = np.array(chosen, np.int64)
             for j in chosen:
                 others = np.append(self.layers[layer].get(j, np.zeros(0, np.int64)), i)
                 if len(others) > limit:
                     d = between(j, others)
-                    others = np.array(diverse(sorted(zip(d.tolist(), others.tolist(), strict=True)), between, limit), np.int64)
+                    others = np.array(self._chosen(sorted(zip(d.tolist(), others.tolist(), strict=True)), between, limit), np.int64)
                 self.layers[layer][j] = others
             at = [j for _, j in found]
         while len(self.layers) <= level:

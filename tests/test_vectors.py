@@ -6,7 +6,7 @@ import warnings
 import numpy as np
 import pytest
 
-from nearfield import operators
+from nearfield import operators, queries
 from nearfield.kernels import quantizers
 from nearfield.kernels.graphs import Layered, Vamana
 from nearfield.kernels.kmeans import kmeans
@@ -118,3 +118,17 @@ def test_catalog_and_files(spark, grid, tmp_path):
     data = b"".join(np.array([3], "<i4").tobytes() + np.array(v, "<f4").tobytes() for v in ([1, 2, 3], [4, 5, 6]))
     (tmp_path / "x.fvecs").write_bytes(data)
     assert [r.vec for r in read_fvecs(spark, f"{tmp_path}/x.fvecs").orderBy("id").collect()] == [[1, 2, 3], [4, 5, 6]]
+
+
+@pytest.mark.parametrize("name", ["ivf_default", "spann_default", "hnsw", "diskann", "rabitq_join", "pq_join", "scann_join"])
+def test_recall_of_index_joins(spark, name):
+    folder = "/root/testdata/sf0.1"
+    df = queries._scaled(queries._table(spark, folder))
+    asked = df.where("vec_id % 100 = 0")
+    exact, found = {}, {r.vec_id: set() for r in asked.select("vec_id").collect()}
+    for r in operators.knn_join(asked, df, queries.K, metric="ip" if name == "pq_join" else "l2sq").collect():
+        exact.setdefault(r.query_id, set()).add(r.key)
+    for r in queries.queries()[name](spark, folder).collect():
+        found[r.query_id].add(r.key)
+    assert len(found) == 20 and all(len(x) == queries.K for x in found.values())
+    assert recall([found[q] for q in exact], list(exact.values())) >= 0.9
