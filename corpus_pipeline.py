@@ -8,7 +8,8 @@ columns of ``documents``; ``n_chars`` follows a changed text.
 2. near_dedup: one document of each group of near copies stays (five words, 80 %).
 3. suffix_dedup: text that repeats over ``REPEAT`` bytes or more goes; documents stay.
 4. decontaminate: documents that are contaminated go; in others, matched words go.
-5. sentencepiece: ids and scores of the best segmentation, with the decoded text's check.
+5. sentencepiece: ids and scores of the best segmentation, and round_trip: whether decoding
+   the ids gives the stage's input text, byte for byte (a null text counts as empty).
 
 Nulls, empty texts and repeated rows: see each operator.
 """
@@ -50,8 +51,10 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    made = sentencepieces.encode(docs, vocabulary("piece_bpe_32k.model"))
-    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "score", "second_score")
+    path = vocabulary("piece_bpe_32k.model")
+    made = sentencepieces.decode(sentencepieces.encode(docs, path), path)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "score", "second_score", same.alias("round_trip"))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("suffix_dedup", drop_repeats), ("decontaminate", drop_benchmark), ("sentencepiece", encode)]

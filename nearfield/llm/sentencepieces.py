@@ -283,7 +283,7 @@ def decode(encoded: DataFrame, path: str, out: str = "decoded") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, 2)
         for batch in batches:
-            texts = [None if x is None else model.decode(np.array(x, np.int64)) for x in batch.column("ids").to_pylist()]
+            texts = [model.decode(x.values.to_numpy()) if x.is_valid else None for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in fields), pa.array(texts, pa.string())], [*fields, out])
 
     return encoded.mapInArrow(run, encoded.drop(out).schema.add(out, "string"))

@@ -9,6 +9,7 @@ import pytest
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from nearfield.llm import chat, decontaminate, fingerprints, html_text, language, near_dedup, sentencepieces, token_files, toxicity
 from tests.llm.brute import ascii_lower, near_components, shingles
 
@@ -162,6 +163,13 @@ def test_nbest_segmentation():
     assert model.encode("")[0][0] == 0
 
 
+def test_pipeline_checks_the_decoded_text(spark):
+    rows = [(0, "one two", "x"), (1, None, "x"), (2, "", "x"), (3, "naïve \n 中 é", "x"), (4, "a\u2581b", "x"), (5, "\u2581a", "x"), (6, " a  b ", "x")]
+    made = {x.doc_id: x for x in corpus_pipeline.encode(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert {i: x.round_trip for i, x in made.items()} == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False, 6: True}
+    assert all(x.n_tokens == len(x.ids) for x in made.values())
+
+
 def test_toxicity_learns_words(spark):
     r = random.Random(4)
     rows = [(i, prose(r, 30) + (" vile rotten" if i % 4 == 0 else ""), "x") for i in range(400)] + [(None, None, "x")]
