@@ -25,6 +25,7 @@ score 0; decoding gives back the text, save that U+2581 in it becomes a space.
 
 from __future__ import annotations
 
+import copy
 import heapq
 import math
 import re
@@ -82,6 +83,7 @@ class Pieces:
         self.old: dict[str, list] = {}
         self.young_words: dict[str, tuple] = {}
         self.old_words: dict[str, tuple] = {}
+        self.wider: dict[int, Pieces] = {}
 
     def lattice(self, unit: str) -> tuple[list[list[tuple[int, float]]], list[float]]:
         """For each position the (start, score) of the pieces that end there, and
@@ -197,6 +199,8 @@ class Pieces:
     def encode(self, text: str, nbest: int | None = None) -> list[tuple[float, np.ndarray]]:
         """The n best segmentations of a whole text: (score, ids), best first."""
         n = self.nbest if nbest is None else nbest
+        if n > self.nbest:  # the units have to be searched for as many
+            return self._for(n).encode(text)
         if not text:
             return [(0.0, np.zeros(0, "<i4"))]
         # words are cut before a space that follows something else; pieces of several spaces exist
@@ -210,6 +214,14 @@ class Pieces:
             out += self._others(made, best, n)
         return out
 
+    def _for(self, n: int) -> Pieces:
+        """The same model for the n best, with memories of its own."""
+        if n not in self.wider:
+            made = copy.copy(self)
+            made.nbest, made.young, made.old, made.young_words, made.old_words, made.wider = n, {}, {}, {}, {}, {}
+            self.wider[n] = made
+        return self.wider[n]
+
     def _others(self, made: list, best: float, n: int) -> list[tuple[float, np.ndarray]]:
         parts = [p for w in made for p in w[2]]
         # only the n - 1 units with the cheapest change can take part in the n best
@@ -254,22 +266,28 @@ def pieces(path: str, nbest: int) -> Pieces:
     return _models[path, nbest]
 
 
-ENCODED = "ids array<int>, score double, second_score double"
+ENCODED = "ids array<int>, score double, second_score double, nbest array<struct<ids: array<int>, score: double>>"
+
+
+def _id_lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, "<i4"), pa.int32()))
 
 
 def encode(docs: DataFrame, path: str, nbest: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text, ids, score of the best and score of the second-best segmentation (null if there is none)."""
+    """doc_id, text, ids, score of the best and score of the second-best segmentation
+    (null if there is none), and nbest: (ids, score) of the ``nbest`` best ones, or of
+    all there are, best first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, nbest)
         for batch in small_batches(batches, text):
             made = [model.encode(t or "") for t in batch.column(text).to_pylist()]
-            ids = [m[0][1] for m in made]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, "<i4")
+            listed = pa.StructArray.from_arrays([_id_lists([x for m in made for _, x in m]), pa.array([s for m in made for s, _ in m], pa.float64())], ["ids", "score"])
+            best = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)), listed)
             second = pa.array([m[1][0] if len(m) > 1 else None for m in made], pa.float64())
-            arrays = [batch.column(key), batch.column(text), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())), pa.array([m[0][0] for m in made], pa.float64()), second]
-            yield pa.RecordBatch.from_arrays(arrays, [key, text, "ids", "score", "second_score"])
+            arrays = [batch.column(key), batch.column(text), _id_lists([m[0][1] for m in made]), pa.array([m[0][0] for m in made], pa.float64()), second, best]
+            yield pa.RecordBatch.from_arrays(arrays, [key, text, "ids", "score", "second_score", "nbest"])
 
     rows = docs.select(key, docs[text].cast("string").alias(text))
     kinds = ", ".join(f"`{x}` {t}" for x, t in rows.dtypes)
@@ -291,9 +309,12 @@ def decode(encoded: DataFrame, path: str, out: str = "decoded") -> DataFrame:
 
 def encode_report(docs: DataFrame, path: str, nbest: int = 2) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian uint32), score,
-    second_score, round_trip: whether decoding the ids gives the text back."""
+    second_score, round_trip: whether decoding the ids gives the text back, and
+    nbest: (n_tokens, ids_crc32, score) of each of the n best, best first."""
     import zlib
 
+    kind = pa.list_(pa.struct([("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("score", pa.float64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, nbest)
         for batch in small_batches(batches, "text"):
@@ -304,9 +325,10 @@ def encode_report(docs: DataFrame, path: str, nbest: int = 2) -> DataFrame:
                 [
                     batch.column("doc_id"), pa.array([len(m[0][1]) for m in made], pa.int64()), pa.array([zlib.crc32(m[0][1].tobytes()) for m in made], pa.int64()),
                     pa.array([m[0][0] for m in made], pa.float64()), pa.array([m[1][0] if len(m) > 1 else None for m in made], pa.float64()), pa.array(same),
+                    pa.array([[{"n_tokens": len(x), "ids_crc32": zlib.crc32(x.tobytes()), "score": s} for s, x in m] for m in made], kind),
                 ],
-                ["doc_id", "n_tokens", "ids_crc32", "score", "second_score", "round_trip"],
+                ["doc_id", "n_tokens", "ids_crc32", "score", "second_score", "round_trip", "nbest"],
             )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, score double, second_score double, round_trip boolean")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, score double, second_score double, round_trip boolean, nbest array<struct<n_tokens: long, ids_crc32: long, score: double>>")

@@ -163,6 +163,21 @@ def test_nbest_segmentation():
     assert model.encode("")[0][0] == 0
 
 
+def test_all_of_the_nbest_are_returned(spark):
+    vocabulary = path("piece_bpe_32k.model")
+    texts = ["one", "", "another", "the thing in the rain"]
+    whole = [sentencepieces.Pieces(vocabulary, 6).encode(t) for t in texts]
+    narrow = sentencepieces.Pieces(vocabulary, 2)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)
+    full = {r.doc_id: r for r in sentencepieces.encode(docs, vocabulary, 6).collect()}
+    report = {r.doc_id: r for r in sentencepieces.encode_report(docs, vocabulary, 6).collect()}
+    for i, expected in enumerate(whole):
+        assert len(expected) == (6 if texts[i] else 1)
+        assert [(s, x.tolist()) for s, x in narrow.encode(texts[i], 6)] == [(s, x.tolist()) for s, x in expected]
+        assert [(r.score, r.ids) for r in full[i].nbest] == [(s, x.tolist()) for s, x in expected]
+        assert [(r.n_tokens, r.ids_crc32, r.score) for r in report[i].nbest] == [(len(x), zlib.crc32(x.tobytes()), s) for s, x in expected]
+
+
 def test_pipeline_checks_the_decoded_text(spark):
     rows = [(0, "one two", "x"), (1, None, "x"), (2, "", "x"), (3, "naïve \n 中 é", "x"), (4, "a\u2581b", "x"), (5, "\u2581a", "x"), (6, " a  b ", "x")]
     made = {x.doc_id: x for x in corpus_pipeline.encode(spark, spark.createDataFrame(rows, DOCS), "").collect()}
