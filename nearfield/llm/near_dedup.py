@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import stage
@@ -59,7 +59,7 @@ def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
             digest = np.zeros((len(sets), 2), np.int64)
             for i in full:
                 digest[i] = np.frombuffer(xxhash.xxh3_128_digest(sets[i].tobytes()), "<i8")
-            keys = band_keys(np.array([signature(sets[i], bands * rows) for i in full]).reshape(-1, bands * rows), bands)
+            keys = band_keys(np.array([signature(sets[i], bands * rows) for i in full], np.uint64).reshape(-1, bands * rows), bands)
             count = np.zeros(len(sets), np.int32)
             count[full] = bands
             at = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
@@ -190,10 +190,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component, in one row,
-    and every row without a doc_id."""
-    kept = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    known = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
-    again = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    known = known.withColumn("__row", F.row_number().over(again)).where("__row = 1").drop("__row")
-    return known.unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` that stay: one row of each component, and every row
+    without a doc_id.
+
+    Rows count by themselves, as one doc_id may have several texts.  Of a component
+    the row of the smallest doc_id stays; rows without a word make one component
+    for each doc_id.
+    """
+    known = stage(docs.where("doc_id is not null").withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(known.select(F.col("__row").alias("doc_id"), "text"), words, percent)
+    found = found.select(F.col("doc_id").alias("__row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
+    order = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text"), F.col("__row").alias("row"))
+    ranked = known.select("__row", order.alias("place")).join(found, "__row")
+    wordless = F.when(F.col("component").isNull(), F.col("place.doc_id"))
+    kept = ranked.groupBy("component", wordless.alias("wordless")).agg(F.min("place").alias("place")).select(F.col("place.row").alias("__row"))
+    return known.join(kept, "__row", "left_semi").drop("__row").unionByName(docs.where("doc_id is null"))

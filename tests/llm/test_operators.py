@@ -97,6 +97,15 @@ def test_near_duplicates(docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in expected.items() if i == c}
 
 
+def test_keep_one_decides_by_row(spark):
+    r = random.Random(8)
+    x, y, z = sorted((prose(r, 30) for _ in range(3)), reverse=True)  # y < x
+    rows = [(5, x, "x"), (5, y, "x"), (3, y, "x"), (7, z, "x"), (7, z, "x"), (8, "", "x"), (8, "", "x"), (9, None, "x"), (None, y, "x")]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    expected = [(3, y), (5, x), (7, z), (8, ""), (9, None), (None, y)]
+    assert sorted(((k[0], k[1]) for k in kept), key=repr) == sorted(expected, key=repr)
+
+
 def test_link_block_finds_links_that_a_star_misses():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 60, 200).astype(np.uint64)
