@@ -37,7 +37,9 @@ TRAINING_PAGES, TREES, DEPTH, RATE, BINS = 400, 40, 4, 0.25, 32
 OPEN_PRICE = 0.7
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIPPED = frozenset("script style noscript template head title svg math iframe object select textarea button canvas".split())
+_SKIPPED = frozenset("script style template head title select textarea button".split())
+#: Nodes of their own that may stand within a paragraph: what they hold is shown in place of something else.
+_APART = frozenset("noscript object iframe canvas".split())
 _RAW = frozenset("script style textarea title".split())
 _BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav aside footer header form fieldset figure figcaption blockquote pre table thead tbody tfoot tr td th address details summary menu dialog hgroup center caption".split()
@@ -76,8 +78,22 @@ class Page:
     pieces: list[tuple[int, str, int]] = field(default_factory=list)  # node, text, characters within links
 
 
+def _ends(source: str, name: str) -> dict[int, int]:
+    """Where the elements of a name begin that have an end tag of their own, and where that ends."""
+    begun: list[int] = []
+    ends = {}
+    for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", source, re.IGNORECASE):
+        if m[1]:
+            if begun:
+                ends[begun.pop()] = m.end()
+        elif not m[0].endswith("/>"):
+            begun.append(m.start())
+    return ends
+
+
 def parse(source: str) -> Page:
     page = Page()
+    ends: dict[str, dict[int, int]] = {}
     nodes: list[int] = [0]  # open blocks
     stack: list[str] = []  # open elements, blocks and others
     parts: list[str] = []
@@ -101,7 +117,7 @@ def parse(source: str) -> Page:
         nonlocal depth_link
         while len(stack) > to:
             name = stack.pop()
-            if name in _BLOCK:
+            if name in _BLOCK or name in _APART:
                 flush()
                 nodes.pop()
             elif name == "a":
@@ -127,18 +143,22 @@ def parse(source: str) -> Page:
                     continue
                 if name == "head":  # what it holds is skipped one by one; it may lack an end tag
                     continue
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(source, at)
                 parts.append(" ")
-                if end:
-                    at = end.end()
-                elif name in _RAW:
-                    at = size
+                if name in _RAW:
+                    end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(source, at)
+                    at = end.end() if end else size
+                else:  # without an end tag of its own, only the tag goes
+                    if name not in ends:
+                        ends[name] = _ends(source, name)
+                    at = max(at, ends[name].get(m.start(), at))
                 continue
             if name in _VOID:
                 parts.append(" " if name in ("br", "hr", "wbr", "img") and name != "wbr" else "")
                 continue
-            if name in _BLOCK:
-                if "p" in stack:
+            if name in _APART and m[0].endswith("/>"):
+                continue
+            if name in _BLOCK or name in _APART:
+                if name in _BLOCK and "p" in stack:
                     close(len(stack) - 1 - stack[::-1].index("p"))
                 if name in _CLOSES:
                     closes, shield = _CLOSES[name]

@@ -250,3 +250,13 @@ def test_html(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "<p>a &amp;\n b", "y")], "page_id long, url string, html string, text string")
     made = {x.page_id: x for x in html_text.extract(pages).collect()}
     assert made[1].text == "" and made[1].n_chars == 0
+
+
+def test_html_keeps_formulas_and_fallbacks():
+    source = """<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold, <svg><title>t</title><text>axis label</text></svg> as drawn.</p>
+    <object data="a.bin"><p>fallback of it</p></object><noscript>shown instead</noscript><object/>
+    <button>unclosed <p>after the button</p><button>pressed</button><script>var gone;</script><select><option>chosen</select><p>last</p></article>"""
+    text = " ".join(t for _, t, _ in html_text.parse(source).pieces)
+    for kept in ("x = 1".replace(" ", ""), "hold,", "axis label", "as drawn.", "fallback of it", "shown instead", "after the button", "last"):
+        assert kept in text
+    assert not any(gone in text for gone in ("var", "pressed", "chosen"))
