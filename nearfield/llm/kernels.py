@@ -46,6 +46,24 @@ def seeds(n: int, seed: int) -> np.ndarray:
     return mix64((np.arange(1, n + 1, dtype=U64) + U64(seed)) * GOLDEN) | U64(1)
 
 
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``first`` to ``first + size - 1`` of each range, one range after the other."""
+    until = np.cumsum(size)
+    kind = np.int32 if len(size) == 0 or max(int(until[-1]), int(first.max())) < 2**30 else np.int64
+    return np.arange(until[-1] if len(until) else 0, dtype=kind) + np.repeat((first - until + size).astype(kind), size)
+
+
+def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, and for each key which of them it is."""
+    order = np.argsort(keys)
+    held = keys[order]
+    fresh = np.ones(len(keys), bool)
+    np.not_equal(held[1:], held[:-1], out=fresh[1:])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return order[fresh], which
+
+
 @dataclass
 class Texts:
     """Lower-cased or raw bytes of consecutive texts; text i is ``buf[start[i]:end[i]]``."""

@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from nearfield.llm.kernels import GOLDEN, U64, seeds, small_batches
+from nearfield.llm.kernels import GOLDEN, U64, groups, ranges, seeds, small_batches
 
 SPACE = "▁"
 UNKNOWN = -25.0
@@ -51,13 +51,6 @@ _LONG = 256
 _NEVER = -math.inf
 
 
-def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers ``first`` to ``first + size - 1`` of each range, one range after the other."""
-    until = np.cumsum(size)
-    kind = np.int32 if len(size) == 0 or max(int(until[-1]), int(first.max())) < 2**30 else np.int64
-    return np.arange(until[-1] if len(until) else 0, dtype=kind) + np.repeat((first - until + size).astype(kind), size)
-
-
 class _Table:
     """A fixed map from (node, class) to a node: open addressing, looked up by arrays."""
 
@@ -345,7 +338,7 @@ class Pieces:
         units = self.forward(codes, start[first], size[first])
 
         count = units.count[which]
-        ids = units.ids[_ranges(units.first[which], count)]
+        ids = units.ids[ranges(units.first[which], count)]
         token = np.concatenate([[0], np.cumsum(count)])
         unit = np.searchsorted(start, np.concatenate([[0], until]))
         score = np.concatenate([[0.0], np.cumsum(units.best[which])])
@@ -369,12 +362,12 @@ class Pieces:
     def _distinct(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A place of each distinct unit, and which one each unit is."""
         factor = seeds(int(size.max()) + 1, 7)
-        terms = factor[_ranges(np.zeros_like(start), size)]
+        terms = factor[ranges(np.zeros_like(start), size)]
         terms *= codes
         hashed = np.add.reduceat(terms, start) + size.astype(U64) * factor[-1]
-        _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
+        first, which = groups(hashed)
         same = size[first][which] == size
-        if not same.all() or not (codes[_ranges(start[first][which], size)] == codes).all():
+        if not same.all() or not (codes[ranges(start[first][which], size)] == codes).all():
             return np.arange(len(start)), np.arange(len(start))  # a clash of hashes: every unit by itself
         return first, which
 
@@ -410,7 +403,7 @@ class Pieces:
     def decode_all(self, segmentations: list[np.ndarray]) -> list[str]:
         """The texts of segmentations; bytes that are no UTF-8 become U+FFFD."""
         ids = np.concatenate([np.zeros(0, np.int64), *segmentations])
-        joint = self.spelling[_ranges(self.spelt_at[ids], self.spelt_size[ids])].tobytes()
+        joint = self.spelling[ranges(self.spelt_at[ids], self.spelt_size[ids])].tobytes()
         until = np.concatenate([[0], np.cumsum(self.spelt_size[ids])])[np.cumsum([0, *map(len, segmentations)])].tolist()
         out = []
         for a, b in zip(until, until[1:]):

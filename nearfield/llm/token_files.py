@@ -14,16 +14,17 @@ of its j-th occurrence (``locate``).  After the planes come the documents'
 lengths (uint32, with the end id) and their ids (int64).
 
 Defined results: a null text is empty and gives only the end id; documents are
-in ascending doc_id, null ids first, repeated ids by text; an empty table gives
-no shard.
+in ascending doc_id, null ids first, rows of one id by a hash of their text; an
+empty table gives no shard.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +33,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.kernels import Texts, Words, groups, ranges, small_batches, texts_of, word_hashes
+
 END_ID = 2
 MAGIC = b"NFWM"
 _HEAD = struct.Struct("<4sBBHIQQ")
 _WORD = 512
 SHARD_TOKENS = 1 << 20
-_GENERATION = 400_000
-#: ASCII marks; the pre-tokenizer keeps a run of them together.  The apostrophe may begin a suffix of its own.
-_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-#: The byte-level alphabet, for Latin-1 letters beyond ASCII: a letter for each byte of its UTF-8 form.
-_BYTE_LETTERS = {c: "".join(chr(b if b in range(0xA1, 0xAD) or b >= 0xAE else 0x100 + (b - 0x80 + 34 if b < 0xA1 else 67)) for b in chr(c).encode()) for c in range(0x80, 0x100)}
+#: Pieces that a process remembers (about 150 bytes each).
+_GENERATION = 1_000_000
+#: Pieces of one call of the library.
+_CALL = 20_000
 
 
 class WaveletMatrix:
@@ -164,15 +166,43 @@ def read_shard(blob: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
     return WaveletMatrix(n, zeros, planes, ranks), lengths, np.frombuffer(raw, "<i8", docs, at + 4 * docs)
 
 
+#: Classes of bytes: white space, ASCII letters, digits, marks, and others, which are kept with what is beside them.
+_BLANK, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[0x21:0x7F] = _MARK
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _BLANK
+_CLASS[[ord("'"), ord("|")]] = _OTHER  # the one may begin a suffix, the other stands in added tokens
+#: Whether the pre-tokenizer cuts between two bytes of these classes, whatever is around them.
+_CUT = np.zeros((5, 5), bool)
+_CUT[_BLANK] = _CUT[:, _BLANK] = True
+for _a, _b in ((_LETTER, _DIGIT), (_LETTER, _MARK), (_DIGIT, _MARK), (_DIGIT, _DIGIT)):
+    _CUT[_a, _b] = _CUT[_b, _a] = True
+
+#: The normaliser and the pre-tokenizer for which the cuts hold (fixed values).
+_NORMALISERS = ["NFC", "Replace", "Lowercase"]
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _cuts_hold(description: dict) -> bool:
+    before, first = description.get("normalizer") or {}, ((description.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    names = [x["type"] for x in before.get("normalizers", [])]
+    added = [x for x in description.get("added_tokens", []) if x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or not re.fullmatch(r"<\|[a-z]+\|>", x["content"])]
+    return names == _NORMALISERS and first.get("pattern") == {"Regex": _WORDS} and first.get("behavior") == "Removed" and first.get("invert") is True and not added
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, each distinct piece once.
 
-    The tokenizer's pre-tokenizer cuts at white space and drops it, and neither
-    its normaliser nor its added tokens reach across a space, so a text's ids
-    are those of its space-separated pieces.  Pieces of Latin-1 letters with
-    punctuation at their end go straight to the library's BPE model, as the
-    pre-tokenizer would cut them there and the normaliser leaves such letters
-    as they are; all others go through the whole library.
+    Where the tokenizer file has the normaliser and the pre-tokenizer written
+    above, texts are cut where these cut in any case: at ASCII white space, and
+    between ASCII letters, digits and marks (but not beside an apostrophe or a
+    bar, which may begin a suffix or belong to an added token; nor beside other
+    characters).  Pieces of ASCII letters only are lower-cased.  Every distinct
+    piece goes through the whole library once, many in one call; a memory of
+    ``_GENERATION`` pieces is shared by batches.  With any other file each text
+    goes through the library as it is.
     """
 
     def __init__(self, path: str) -> None:
@@ -180,49 +210,84 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def _whole(self, piece: str) -> bytes:
-        return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _model(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) > _GENERATION:
-                self.words.clear()
-            found = self.words[word] = array("I", [t.id for t in self.library.model.tokenize(word.translate(_BYTE_LETTERS))]).tobytes()
-        return found
-
-    def _new(self, piece: str) -> bytes:
-        found = self.old.get(piece)
-        if found is None:
-            word = piece.rstrip(_MARKS)
-            if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
-                mark = piece[len(word) :]
-                found = self._model(word.lower())
-                if mark:
-                    if mark not in self.marks:
-                        self.marks[mark] = self._whole(mark)
-                    found += self.marks[mark]
-            else:
-                found = self._whole(piece)
-        if len(self.young) >= _GENERATION:
-            self.old, self.young = self.young, {}
-        self.young[piece] = found
-        return found
-
-    def __call__(self, text: str) -> bytes:
-        """The ids of a text as little-endian uint32."""
-        pieces = text.replace("\n", " ").split(" ")
-        made = list(map(self.young.get, pieces))
-        if None in made:
-            for i, piece in enumerate(pieces):
-                if made[i] is None:
-                    made[i] = self._new(piece)
-        return b"".join(made)
+        self.cut = _cuts_hold(json.loads(self.library.to_str()))
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Put new pieces into the memory."""
+        words = [x.decode() for x in pieces]
+        found, counts = [self.ids], []
+        for i in range(0, len(words), _CALL):
+            part = words[i : i + _CALL]
+            start = np.cumsum([0, *(len(w) + 1 for w in part)])[:-1]
+            made = self.library.encode(" ".join(part), add_special_tokens=False)
+            at = np.array([a for a, _ in made.offsets], np.int64)
+            counts.append(np.bincount(np.searchsorted(start, at, "right") - 1, minlength=len(part)))
+            found.append(np.array(made.ids, np.uint32))
+        count = np.concatenate(counts)
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate(found)
+
+    def encode_all(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and how many each has."""
+        if not self.cut:
+            made = [self.library.encode(texts.of(i).decode(), add_special_tokens=False).ids for i in range(len(texts))]
+            return np.array([x for ids in made for x in ids], np.uint32), np.array([len(x) for x in made], np.int64)
+        pieces, low = _pieces(texts)
+        if not len(pieces.start):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        one, which = groups(word_hashes(low, pieces))
+        start, end = pieces.start[one], pieces.end[one]
+        size = pieces.end - pieces.start
+        if not ((end - start)[which] == size).all() or not (low[ranges(start[which], size)] == low[ranges(pieces.start, size)]).all():
+            start, end, which = pieces.start, pieces.end, np.arange(len(size))  # a clash of hashes: every piece by itself
+        raw = low.tobytes()
+        keys = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        if len(self.known) > _GENERATION:
+            self.forget()
+        fresh = [x for x in dict.fromkeys(keys) if x not in self.known]
+        if fresh:
+            self._learn(fresh)
+        row = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which]
+        count = self.count[row]
+        until = np.concatenate([[0], np.cumsum(count)])
+        return self.ids[ranges(self.first[row], count)], until[pieces.last] - until[pieces.first]
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.encode_all(texts_of(pa.array([text], pa.string())))[0]
+
+
+def _pieces(texts: Texts) -> tuple[Words, np.ndarray]:
+    """The pieces that texts are cut into, and the texts' bytes with pieces of letters lower-cased."""
+    buf = texts.buf
+    kind = _CLASS[buf]
+    inside = np.zeros(len(buf) + 1, bool)
+    inside[:-1] = kind != _BLANK
+    full = texts.end > texts.start
+    if int((texts.end - texts.start).sum()) != len(buf):  # bytes of null entries lie between
+        covered = np.zeros(len(buf), bool)
+        covered[ranges(texts.start, texts.end - texts.start)] = True
+        inside[:-1] &= covered
+    edge = np.ones(len(buf) + 1, bool)
+    edge[1:-1] = _CUT.ravel()[kind[:-1] * np.uint8(5) + kind[1:]]
+    edge[texts.start[full]] = edge[texts.end[full]] = True
+    start = np.flatnonzero(inside & edge)
+    end = np.flatnonzero(inside[:-1] & edge[1:]) + 1
+    low = buf.copy()
+    capital = np.flatnonzero((buf >= 65) & (buf <= 90))
+    if len(start) and len(capital):
+        other = np.concatenate([[0], np.cumsum(kind != _LETTER, dtype=np.int32)])
+        plain = other[end] == other[start]
+        piece = np.maximum(np.searchsorted(start, capital, "right") - 1, 0)
+        low[capital[plain[piece]]] += 32
+    first = np.searchsorted(start, texts.start)
+    return Words(start, end, first, np.maximum(first, np.searchsorted(start, texts.end))), low
 
 
 _encoders: dict[str, Encoder] = {}
@@ -247,32 +312,37 @@ def write_token_files(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text").select("key", "text")
+    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(parts, "key", "hash").sortWithinPartitions("key", "hash", "text").select("key", "text")
 
-    def shard(held: list[tuple[int, bytes]], place: int) -> pa.RecordBatch:
+    def shard(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], place: int) -> pa.RecordBatch:
         from pyspark import TaskContext
 
-        ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-        if not len(ids) or ids.max() < 1 << 16:
+        keys, lengths, ids = map(np.concatenate, zip(*held, strict=True))
+        if ids.max() < 1 << 16:
             ids = ids.astype(np.uint16)
-        keys = np.array([k for k, _ in held], np.int64)
-        blob = write_shard(ids, np.array([len(x) // 4 for _, x in held], np.int64), keys)
         part = TaskContext.get().partitionId()
-        values = [(int(keys[0]), pa.int64()), (part, pa.int32()), (place, pa.int32()), (len(ids), pa.int64()), (blob, pa.binary())]
+        values = [(int(keys[0]), pa.int64()), (part, pa.int32()), (place, pa.int32()), (len(ids), pa.int64()), (write_shard(ids, lengths, keys), pa.binary())]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], [x.split()[0] for x in SHARDS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary), np.array([END_ID], "<u4").tobytes()
-        held: list[tuple[int, bytes]] = []
+        encode = encoder(vocabulary).encode_all
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = place = 0
-        for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-                made = encode(text.as_py() or "") + end
-                if held and size + len(made) > 4 * SHARD_TOKENS:
+        for batch in small_batches(batches, "text"):
+            ids, lengths = encode(texts_of(batch.column("text")))
+            until = np.cumsum(lengths)
+            ids, until, lengths = np.insert(ids, until, END_ID), np.concatenate([[0], until + np.arange(1, len(until) + 1)]), lengths + 1
+            keys = batch.column("key").to_numpy()
+            first = 0
+            while first < len(keys):  # as many documents as the shard has room for
+                last = max(first + (not held), int(np.searchsorted(until, until[first] + SHARD_TOKENS - size, "right")) - 1)
+                if last > first:
+                    held.append((keys[first:last], lengths[first:last], ids[until[first] : until[last]]))
+                    size += int(until[last] - until[first])
+                if last < len(keys):
                     yield shard(held, place)
                     held, size, place = [], 0, place + 1
-                held.append((key, made))
-                size += len(made)
+                first = last
         if held:
             yield shard(held, place)
 
