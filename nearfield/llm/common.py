@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 _own_folder: dict[str, str] = {}
@@ -50,6 +51,27 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the map that ``only_wanted`` broadcasts: 16 MB, whatever the input's size.
+WANTED_BITS = 1 << 27
+_ROW_BITS = 1 << 15
+
+
+def only_wanted(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``df`` without most of the rows whose ``key`` isn't in ``wanted`` (one column).
+
+    To be put before a join, so that those rows aren't shuffled.  The map has one
+    bit for each of ``WANTED_BITS`` hashes of a key; rows that share a bit with a
+    wanted key pass, so the join itself still decides.
+    """
+    hashed = F.pmod(F.xxhash64(F.col(wanted.columns[0])), F.lit(WANTED_BITS))
+    maps = wanted.select(hashed.alias("bit")).groupBy(F.floor(F.col("bit") / _ROW_BITS).alias("__nf_row")).agg(F.bitmap_construct_agg(F.col("bit") % _ROW_BITS).alias("__nf_map"))
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(WANTED_BITS))
+    at = bit % _ROW_BITS
+    byte = F.conv(F.hex(F.substring(F.col("__nf_map"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = df.withColumn("__nf_row", F.floor(bit / _ROW_BITS)).join(F.broadcast(maps), "__nf_row")
+    return joined.where(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*df.columns)
+
+
 def drop_staged() -> None:
     """Delete every table that ``stage`` wrote; their data frames end with it."""
     while _written:

@@ -8,7 +8,8 @@ stands for.  Classes are linked whose similarity ``J >= percent / 100``:
 1. One-permutation MinHash with optimal densification, cut into bands; classes
    that agree on a band share a bucket.  Within a bucket each member is paired
    with the smallest member only, so a bucket of n gives n - 1 candidate pairs.
-2. Candidate pairs are confirmed on the full sets.
+2. Candidate pairs are confirmed on the full sets, unless their sizes alone rule
+   a link out.
 3. A star can miss a link between two members of which neither is linked to
    its centre.  So the classes that candidate pairs connect at all (confirmed
    or not) form a cluster, and where a cluster fell apart into several
@@ -33,18 +34,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import stage
+from nearfield.llm.common import only_wanted, stage
 from nearfield.llm.components import components
 from nearfield.llm.kernels import shingle_sets, small_batches, texts_of
 from nearfield.llm.minhash import band_keys, signature
 
 #: (bands, bins a band) for a threshold in per cent: a pair at it is missed with a chance below 1e-8.
 BANDING = {85: (42, 6), 80: (50, 5)}
-#: Rows of a block in step 3.
-ROWS = 1024
+#: Partners that are compared with one copy of their centre.
+CHUNK = 32
+#: Rows and shingles of a block in step 3.
+ROWS, SHINGLES = 1024, 1 << 19
 _COLUMNS = 4096
 
 
@@ -70,15 +73,34 @@ def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def _confirm(pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of (u, v, a, b) with both texts, the pairs at least ``percent`` alike."""
+def _confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of the candidate pairs (u, v), those whose texts are at least ``percent`` alike.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "a", 2 << 20):
-            ok = [_alike(x, y, percent) for x, y in zip(shingle_sets(texts_of(batch.column("a")), words), shingle_sets(texts_of(batch.column("b")), words), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+    The partners of a centre u are dealt into chunks of about ``CHUNK``, and its
+    own text goes to each chunk once, not with every pair.
+    """
+    pairs = pairs.join(pairs.groupBy("u").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "u")
+    roles = pairs.select(F.col("v").alias("id"), "u", F.pmod(F.xxhash64("v"), "chunks").alias("chunk"), F.lit(1).alias("kind"))
+    centres = pairs.select("u", "chunks").distinct().select(F.col("u").alias("id"), "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"))
+    roles = stage(roles.unionByName(centres), "roles")
+    rows = only_wanted(docs, "id", roles.select("id")).join(roles.hint("merge"), "id")
+    rows = rows.select("u", "chunk", "kind", "id", "text").repartition("u", "chunk").sortWithinPartitions("u", "chunk", "kind")
 
-    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, centre = None, []
+        for batch in small_batches(batches, "text", 2 << 20):
+            found = []
+            places = zip(*(batch.column(x).to_pylist() for x in ("u", "chunk", "kind", "id")), strict=True)
+            for (u, number, kind, node), own in zip(places, shingle_sets(texts_of(batch.column("text")), words), strict=True):
+                if (u, number) != chunk:
+                    chunk, centre = (u, number), []
+                if not kind:
+                    centre.append(own)
+                elif any(_alike(x, own, percent) for x in centre):
+                    found.append((u, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], ["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -129,13 +151,17 @@ def link_block(sets: list[np.ndarray], left: np.ndarray, component: np.ndarray,
     return out
 
 
-def _leftovers(clusters: DataFrame, labels: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _leftovers(clusters: DataFrame, labels: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(u, v): links that connect components of one cluster (step 3)."""
     rows = clusters.select("node", F.col("component").alias("cluster")).join(labels, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("part"))
-    rows = stage(rows, "parts")
-    sizes = stage(rows.groupBy("cluster", "part").agg(F.count("*").alias("n")), "sizes")
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("parts")).where("parts > 1")
-    main = stage(main.select("cluster", F.col("top.part").alias("main"), F.ceil((F.col("total") - F.col("top.n")) / ROWS).alias("lefts"), F.ceil(F.col("top.n") / ROWS).alias("rights")), "main")
+    rows = stage(rows.join(sizes.select(F.col("id").alias("node"), "n_shingles"), "node"), "parts")
+    parts = rows.groupBy("cluster", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    main = parts.groupBy("cluster").agg(F.max(F.struct("n", "part", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("parts")).where("parts > 1")
+
+    def blocks(n: Column, s: Column) -> Column:
+        return F.ceil(F.greatest(n / ROWS, s / SHINGLES))
+
+    main = stage(main.select("cluster", F.col("top.part").alias("main"), blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("lefts"), blocks(F.col("top.n"), F.col("top.s")).alias("rights")), "main")
     rows = rows.join(main, "cluster").withColumn("outside", F.col("part") != F.col("main"))
     number = F.when(F.col("outside"), F.pmod(F.xxhash64("node"), "lefts")).otherwise(F.pmod(F.xxhash64("node"), "rights"))
     # blocks: outer block i with outer block j >= i, and with each block of the main component
@@ -147,9 +173,10 @@ def _leftovers(clusters: DataFrame, labels: DataFrame, texts: DataFrame, words:
             F.transform(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1), lambda j: F.struct(F.col("b").alias("i"), (F.col("lefts") + j).alias("j"))),
         ),
     ).otherwise(F.transform(order, lambda i: F.struct(i.alias("i"), (F.col("lefts") + F.col("b")).alias("j"))))
-    rows = rows.withColumn("b", number).select("node", "cluster", "part", F.col("b").alias("own"), F.col("outside"), F.explode(outer).alias("pair"))
-    rows = rows.select("node", "cluster", "part", "pair", (F.col("outside") & (F.col("own") == F.col("pair.i"))).alias("is_left"))
-    rows = rows.join(texts.select(F.col("id").alias("node"), "text"), "node")
+    rows = stage(rows.withColumn("b", number).select("node", "cluster", "part", F.col("b").alias("own"), "outside", outer.alias("pairs")), "blocks")
+    texts = only_wanted(docs, "id", rows.select(F.col("node").alias("id")))
+    rows = rows.join(texts.withColumnRenamed("id", "node"), "node").select("node", "cluster", "part", "own", "outside", "text", F.explode("pairs").alias("pair"))
+    rows = rows.select("node", "cluster", "part", "text", "pair", (F.col("outside") & (F.col("own") == F.col("pair.i"))).alias("is_left"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -166,24 +193,28 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     made = stage(_signatures(docs, words, percent), "signatures")
     known = made.where("doc_id is not null and n_shingles > 0")
-    classes = stage(known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("top")).select("k1", "k2", F.col("top.doc_id").alias("id"), F.col("top.bands").alias("bands")), "classes")
+    classes = known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("top"))
+    classes = stage(classes.select("k1", "k2", F.col("top.doc_id").alias("id"), F.col("top.n_shingles").alias("n_shingles"), F.col("top.bands").alias("bands")), "classes")
 
     members = classes.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "id")
     buckets = stage(members.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("other")).where("centre <> other").select("key", "centre"), "buckets")
-    pairs = stage(members.join(buckets, "key").where("id <> centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
+    pairs = only_wanted(members, "key", buckets.select("key")).join(buckets.hint("merge"), "key").where("id <> centre")
+    pairs = stage(pairs.select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
 
-    wanted = pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = stage(docs.withColumnRenamed("doc_id", "id").join(wanted, "id"), "texts")
-    links = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-    links = stage(_confirm(links, words, percent), "links")
+    # a pair whose sizes rule a link out needs no look at its texts; it counts for step 3 still
+    sizes = classes.select("id", "n_shingles")
+    sized = pairs.join(sizes.select(F.col("id").alias("u"), F.col("n_shingles").alias("n")), "u").join(sizes.select(F.col("id").alias("v"), F.col("n_shingles").alias("m")), "v")
+    sized = sized.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("u", "v").distinct()
+    texts = docs.withColumnRenamed("doc_id", "id")
+    links = stage(_confirm(stage(sized, "sized"), texts, words, percent), "links")
 
     labels = components(links)
-    more = stage(_leftovers(components(pairs), labels, texts, words, percent), "more")
+    more = stage(_leftovers(components(pairs), labels, sizes, texts, words, percent), "more")
     if more.limit(1).count():
         labels = components(links.unionAll(more))
 
     found = classes.select("k1", "k2", "id").join(labels, F.col("id") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
-    out = made.drop("bands").join(stage(found, "components"), ["k1", "k2"], "left")
+    out = made.drop("bands").join(stage(found, "components").hint("merge"), ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component"))
     out = out.select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
