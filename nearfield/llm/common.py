@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -36,6 +37,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[context.applicationId]
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, so that rows of any length are held in small numbers.
+ARROW_BYTES = 8 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_arrow(df: DataFrame) -> DataFrame:
+    """``df``; its session sends Arrow batches of at most ``ARROW_BYTES`` (or one row) from now on."""
+    conf = df.sparkSession.conf
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)i?b?", conf.get(_ARROW).strip().lower()).groups()
+    if int(number) << 10 * " kmgtp".index(unit or " ") > ARROW_BYTES:
+        conf.set(_ARROW, str(ARROW_BYTES))
+    return df
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

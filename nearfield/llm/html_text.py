@@ -33,6 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from nearfield.llm.common import small_arrow
+from nearfield.llm.kernels import small_batches
+
 TRAINING_PAGES, TREES, DEPTH, RATE, BINS = 400, 40, 4, 0.25, 32
 OPEN_PRICE = 0.7
 
@@ -467,8 +470,6 @@ def extract(pages: DataFrame, source: str = "html", out: str = "text") -> DataFr
     handle = pages.sparkSession.sparkContext.broadcast(trained())  # TREES * 2**DEPTH nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from nearfield.llm.kernels import small_batches
-
         for batch in small_batches(batches, source, 1 << 20):
             texts = main_texts([x or "" for x in batch.column(source).to_pylist()], handle.value)
             sizes = pa.array([len(t) for t in texts], pa.int64())
@@ -476,4 +477,4 @@ def extract(pages: DataFrame, source: str = "html", out: str = "text") -> DataFr
 
     keep = pages.drop("n_chars", out) if out != source else pages.drop("n_chars")
     fields = [x for x in keep.columns if x != source]
-    return keep.mapInArrow(run, keep.drop(source).schema.add(out, "string").add("n_chars", "long"))
+    return small_arrow(keep).mapInArrow(run, keep.drop(source).schema.add(out, "string").add("n_chars", "long"))

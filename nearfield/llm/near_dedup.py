@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import only_wanted, stage
+from nearfield.llm.common import only_wanted, small_arrow, stage
 from nearfield.llm.components import components
 from nearfield.llm.kernels import shingle_sets, small_batches, texts_of
 from nearfield.llm.minhash import band_keys, signature
@@ -70,7 +70,7 @@ def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
             arrays = [batch.column("doc_id"), sizes, pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.ListArray.from_arrays(at, pa.array(keys.ravel().view(np.int64)))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "k1", "k2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return small_arrow(docs).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -100,7 +100,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
                     found.append((u, node))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return small_arrow(rows).mapInArrow(run, "u long, v long")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

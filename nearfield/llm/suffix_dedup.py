@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import stage
+from nearfield.llm.common import small_arrow, stage
 from nearfield.llm.kernels import U64, Texts, mix64, seeds, small_batches, texts_of
 from nearfield.llm.suffix_sort import deep_shallow
 
@@ -113,7 +113,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 [x.split()[0] for x in ANCHORS.split(", ")],
             )
 
-    return docs.select("rid", "th", "text").where(F.octet_length("text") >= length).mapInArrow(run, ANCHORS)
+    return small_arrow(docs.select("rid", "th", "text").where(F.octet_length("text") >= length)).mapInArrow(run, ANCHORS)
 
 
 CONTEXTS = "gram long, span long, copies long, omin int, omax int, hot boolean, before binary, after binary"
@@ -137,7 +137,7 @@ def _contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             names = [x.split()[0] for x in CONTEXTS.split(", ")]
             yield pa.RecordBatch.from_arrays([*(flat.field(x) for x in names[:6]), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names)
 
-    return rows.join(by_text, [_RID, _TH]).mapInArrow(run, CONTEXTS)
+    return small_arrow(rows.join(by_text, [_RID, _TH])).mapInArrow(run, CONTEXTS)
 
 
 def shared_offsets(before: list[bytes], after: list[bytes], copies: np.ndarray, least: np.ndarray, most: np.ndarray, length: int) -> list[list[int]]:
@@ -203,7 +203,7 @@ def _sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
             yield _decided(pa.Table.from_batches(held), length)
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, DECIDED)
+    return small_arrow(contexts.repartition(parts, "gram").sortWithinPartitions("gram")).mapInArrow(run, DECIDED)
 
 
 def _whole_windows(contexts: DataFrame, length: int) -> DataFrame:
@@ -256,13 +256,13 @@ def _whole_windows(contexts: DataFrame, length: int) -> DataFrame:
                 columns = [*(batch.column(c).take(pa.array(row, pa.int32())) for c in class_names), pa.array(offset, pa.int32()), pa.array(copies, pa.int64()), pair(keys, 0), pair(keys, 1)]
                 yield pa.RecordBatch.from_arrays(columns, [*class_names, "o", "n", "w1", "w2"])
 
-    rows = stage(contexts.mapInArrow(blocks, "gram long, span long, copies long, first int, last int, c1 long, c2 long, h1 long, h2 long"), "blocks")
+    rows = stage(small_arrow(contexts).mapInArrow(blocks, "gram long, span long, copies long, first int, last int, c1 long, c2 long, h1 long, h2 long"), "blocks")
     hulls = rows.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.min(F.struct("gram", "span", "first", "last", "c1", "c2")).alias("p"))
     hulls = stage(hulls.select("h1", "h2", "n", "p.*"), "hulls")
     whole = rows.join(stage(hulls.where("n > 1").select("h1", "h2"), "repeated"), ["h1", "h2"]).select("gram", "span", F.array("first", "last").alias("offsets"))
     cores = stage(hulls.groupBy("c1", "c2").agg(F.count("*").alias("hulls")).where("hulls > 1").select("c1", "c2"), "cores")
     opened = hulls.join(cores, ["c1", "c2"]).groupBy("gram", "span").agg(F.collect_list(F.struct("first", "last", "n")).alias("opened"))  # at most length / _OFFSETS
-    keyed = stage(contexts.join(stage(opened, "opened"), ["gram", "span"]).mapInArrow(windows, "gram long, span long, o int, n long, w1 long, w2 long"), "windows")
+    keyed = stage(small_arrow(contexts.join(stage(opened, "opened"), ["gram", "span"])).mapInArrow(windows, "gram long, span long, o int, n long, w1 long, w2 long"), "windows")
     seen = stage(keyed.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "windows-seen")
     # a hull that occurs once is of one class, the one that its windows were keyed for
     single = keyed.where("n = 1").join(seen, ["w1", "w2"]).select("gram", "span", F.array("o", "o").alias("offsets"))
@@ -335,7 +335,7 @@ def removal_report(docs: DataFrame, length: int = 400) -> DataFrame:
             )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    return with_spans(rows, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return small_arrow(with_spans(rows, length)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int) -> DataFrame:
@@ -350,4 +350,4 @@ def remove_repeats(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else batch.column(x) for x in fields], fields)
 
     rows = docs.withColumn("text", docs["text"].cast("string"))
-    return with_spans(rows, length).mapInArrow(run, rows.schema)
+    return small_arrow(with_spans(rows, length)).mapInArrow(run, rows.schema)

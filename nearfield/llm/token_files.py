@@ -33,6 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.common import small_arrow
 from nearfield.llm.kernels import Texts, Words, groups, ranges, small_batches, texts_of, word_hashes
 
 END_ID = 2
@@ -346,7 +347,7 @@ def write_token_files(docs: DataFrame, vocabulary: str) -> DataFrame:
         if held:
             yield shard(held, place)
 
-    return rows.mapInArrow(run, SHARDS)
+    return small_arrow(rows).mapInArrow(run, SHARDS)
 
 
 def read_token_files(shards: DataFrame) -> DataFrame:
@@ -372,4 +373,4 @@ def read_token_files(shards: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return shards.select("part", "place", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return small_arrow(shards.select("part", "place", "blob")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
