@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.common import small_arrow
 from nearfield.llm.kernels import ALNUM, lower, small_batches, texts_of, word_hashes, words_of
 
 WINDOW = 13
@@ -72,7 +73,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         if held:
             yield _index_block(_joined(held), key, text)
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, INDEX)
+    return small_arrow(docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))).mapInArrow(run, INDEX)
 
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -192,7 +193,7 @@ def _hits(block: Block, handles: list) -> tuple[np.ndarray, list[set[str]]]:
             for d in np.unique(block.doc_of(starts)).tolist():
                 items[d].add(item)
         if len(handles) > 1:
-            handle.unpersist()
+            vars(handle).pop("_value", None)  # this process's copy; the task reads it again for its next block
     return np.cumsum(edge[:-1]) > 0, items
 
 
@@ -216,7 +217,7 @@ def contamination(index: DataFrame, handles: list) -> DataFrame:
                     ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
 
-    return index.mapInArrow(run, schema)
+    return small_arrow(index).mapInArrow(run, schema)
 
 
 def phrase_matches(index: DataFrame, handles: list, window: int = WINDOW) -> DataFrame:
@@ -231,7 +232,7 @@ def phrase_matches(index: DataFrame, handles: list, window: int = WINDOW) -> Dat
                         doc = block.doc_of(starts)
                         yield _matches(block, doc, item, starts - block.first_word[doc], np.full(len(doc), size))
 
-    return index.mapInArrow(run, "doc_id long, item_id string, word long, n_words long")
+    return small_arrow(index).mapInArrow(run, "doc_id long, item_id string, word long, n_words long")
 
 
 def near_matches(index: DataFrame, handles: list, span: int) -> DataFrame:
@@ -250,7 +251,7 @@ def near_matches(index: DataFrame, handles: list, span: int) -> DataFrame:
                         doc = block.doc_of(found[:, 0])
                         yield _matches(block, doc, item, found[:, 0] - block.first_word[doc], found[:, 1] - found[:, 0] + 1)
 
-    return index.mapInArrow(run, "doc_id long, item_id string, word long, n_words long")
+    return small_arrow(index).mapInArrow(run, "doc_id long, item_id string, word long, n_words long")
 
 
 def _matches(block: Block, doc: np.ndarray, item: str, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -297,4 +298,4 @@ def clean(docs: DataFrame, handles: list) -> DataFrame:
                 columns[fields.index("text")] = pa.array(column, pa.string())
             yield pa.RecordBatch.from_arrays(columns, fields).filter(pa.array(kept))
 
-    return rows.mapInArrow(run, rows.schema)
+    return small_arrow(rows).mapInArrow(run, rows.schema)
