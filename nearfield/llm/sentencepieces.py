@@ -42,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from nearfield.llm.common import small_arrow
 from nearfield.llm.kernels import GOLDEN, U64, groups, ranges, seeds, small_batches
 
 SPACE = "▁"
@@ -438,10 +439,11 @@ def _id_lists(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, "<i4"), pa.int32()))
 
 
-def encode(docs: DataFrame, path: str, nbest: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, nbest: int = 2, key: str = "doc_id", text: str = "text", decoded: str | None = None) -> DataFrame:
     """doc_id, text, ids, score of the best and score of the second-best segmentation
     (null if there is none), and nbest: (ids, score) of the ``nbest`` best ones, or of
-    all there are, best first."""
+    all there are, best first.  ``decoded`` names one more column for the text that the
+    ids give back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, nbest)
@@ -451,11 +453,13 @@ def encode(docs: DataFrame, path: str, nbest: int = 2, key: str = "doc_id", text
             best = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)), listed)
             second = pa.array([m[1][0] if len(m) > 1 else None for m in made], pa.float64())
             arrays = [batch.column(key), batch.column(text), _id_lists([m[0][1] for m in made]), pa.array([m[0][0] for m in made], pa.float64()), second, best]
-            yield pa.RecordBatch.from_arrays(arrays, [key, text, "ids", "score", "second_score", "nbest"])
+            if decoded:
+                arrays.append(pa.array(model.decode_all([m[0][1] for m in made]), pa.string()))
+            yield pa.RecordBatch.from_arrays(arrays, [key, text, "ids", "score", "second_score", "nbest", *([decoded] if decoded else [])])
 
     rows = docs.select(key, docs[text].cast("string").alias(text))
     kinds = ", ".join(f"`{x}` {t}" for x, t in rows.dtypes)
-    return rows.mapInArrow(run, f"{kinds}, {ENCODED}")
+    return small_arrow(rows).mapInArrow(run, f"{kinds}, {ENCODED}" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str, out: str = "decoded") -> DataFrame:
@@ -470,7 +474,7 @@ def decode(encoded: DataFrame, path: str, out: str = "decoded") -> DataFrame:
             texts = [t if ok else None for t, ok in zip(made, ids.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in fields), pa.array(texts, pa.string())], [*fields, out])
 
-    return encoded.mapInArrow(run, encoded.drop(out).schema.add(out, "string"))
+    return small_arrow(encoded).mapInArrow(run, encoded.drop(out).schema.add(out, "string"))
 
 
 def encode_report(docs: DataFrame, path: str, nbest: int = 2) -> DataFrame:
@@ -497,4 +501,4 @@ def encode_report(docs: DataFrame, path: str, nbest: int = 2) -> DataFrame:
             )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, score double, second_score double, round_trip boolean, nbest array<struct<n_tokens: long, ids_crc32: long, score: double>>")
+    return small_arrow(rows).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, score double, second_score double, round_trip boolean, nbest array<struct<n_tokens: long, ids_crc32: long, score: double>>")
