@@ -52,7 +52,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model")
-    made = sentencepieces.decode(sentencepieces.encode(docs, path), path)
+    made = sentencepieces.encode(docs, path, decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "score", "second_score", same.alias("round_trip"))
 
