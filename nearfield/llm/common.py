@@ -7,6 +7,7 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,10 +88,23 @@ def only_wanted(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return joined.where(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*df.columns)
 
 
+@contextlib.contextmanager
+def only_last_stays() -> Iterator[None]:
+    """Of the tables that are staged within the block, only the last one stays."""
+    mark = len(_written)
+    yield
+    _drop(_written[mark:-1])
+    del _written[mark:-1]
+
+
 def drop_staged() -> None:
     """Delete every table that ``stage`` wrote; their data frames end with it."""
-    while _written:
-        spark, path = _written.pop()
+    _drop(_written)
+    _written.clear()
+
+
+def _drop(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         with contextlib.suppress(Exception):  # the session may have ended before
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import small_arrow, stage
+from nearfield.llm.common import only_last_stays, small_arrow, stage
 from nearfield.llm.kernels import U64, Texts, mix64, seeds, small_batches, texts_of
 from nearfield.llm.suffix_sort import deep_shallow
 
@@ -273,10 +273,25 @@ def _whole_windows(contexts: DataFrame, length: int) -> DataFrame:
 SPANS, _RID, _TH = "__nf_spans", "__nf_rid", "__nf_th"
 
 
-def with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` with SPANS: repeated byte runs (b, e) of each text, sorted; they may overlap."""
+def with_spans(docs: DataFrame, *lengths: int) -> DataFrame:
+    """``docs`` with SPANS: repeated byte runs (b, e) of each text, sorted; they may overlap.
+
+    A second, third length is answered in the columns SPANS_1, SPANS_2.
+    """
     rows = docs.withColumn("text", docs["text"].cast("string"))
     rows = rows.withColumns({_RID: F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)), _TH: F.xxhash64("text")})
+    names = [f"{SPANS}_{i}" if i else SPANS for i in range(len(lengths))]
+    out = rows
+    for name, length in zip(names, lengths, strict=True):
+        with only_last_stays():
+            found = stage(_repeats(rows, length), "spans")
+        out = out.join(found.withColumnRenamed("__nf_parts", name), [_RID, _TH], "left")
+    none = F.array().cast("array<struct<b:int,e:int>>")
+    return out.select(*docs.columns, *(F.coalesce(x, none).alias(x) for x in names))
+
+
+def _repeats(rows: DataFrame, length: int) -> DataFrame:
+    """The repeated runs of each text that has any, by _RID and _TH."""
     found = _anchor_rows(rows.select(F.col(_RID).alias("rid"), F.col(_TH).alias("th"), "text"), length)
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
     grams = stage(grams.where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed")), "grams")
@@ -293,9 +308,7 @@ def with_spans(docs: DataFrame, length: int) -> DataFrame:
     back = found.where("mixed").join(decided, ["gram", "span"]).select("rid", "th", "pos", F.explode(_pairs(F.col("offsets"))).alias("o"))
     back = back.select("rid", "th", (F.col("pos") - F.col("o.last")).alias("b"), (F.col("pos") - F.col("o.first") + length).alias("e"))
     spans = whole.unionByName(back).groupBy("rid", "th").agg(F.sort_array(F.collect_list(F.struct("b", "e"))).alias("__nf_parts"))
-    spans = spans.withColumnsRenamed({"rid": _RID, "th": _TH})
-    out = rows.join(spans, [_RID, _TH], "left").withColumn(SPANS, F.coalesce("__nf_parts", F.array().cast("array<struct<b:int,e:int>>")))
-    return out.select(*docs.columns, SPANS)
+    return spans.withColumnsRenamed({"rid": _RID, "th": _TH})
 
 
 def _pairs(offsets: Column) -> Column:
@@ -317,25 +330,36 @@ def removed(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def _cut(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, int]]:
-    for text, spans in zip(batch.column("text"), batch.column(SPANS).to_pylist(), strict=True):
+def _cut(batch: pa.RecordBatch, column: str = SPANS) -> Iterator[tuple[bytes, bytes, int]]:
+    for text, spans in zip(batch.column("text"), batch.column(column).to_pylist(), strict=True):
         raw = b"" if not text.is_valid else text.as_buffer().to_pybytes()
         yield raw, *removed(raw, [(s["b"], s["e"]) for s in spans])
 
 
-def removal_report(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
+def _texts(batch: pa.RecordBatch, column: str = SPANS) -> pa.Array:
+    valid = batch.column("text").is_valid().to_pylist()
+    return pa.array([k.decode("utf-8", "ignore") if ok else None for (_, k, _), ok in zip(_cut(batch, column), valid, strict=True)], pa.string())
+
+
+def removal_report(docs: DataFrame, length: int = 400, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row.
+
+    With ``passage``, also text: what ``remove_repeats`` leaves at that length, as
+    repeated passages may be shorter than ``length``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             made = list(_cut(batch))
+            more = [_texts(batch, f"{SPANS}_1")] if passage else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in ([len(r) for r, _, _ in made], [len(r) - len(k) for r, k, _ in made], [n for _, _, n in made])), pa.array([hashlib.sha256(k).hexdigest() for _, k, _ in made])],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in ([len(r) for r, _, _ in made], [len(r) - len(k) for r, k, _ in made], [n for _, _, n in made])), pa.array([hashlib.sha256(k).hexdigest() for _, k, _ in made]), *more],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if passage else [])],
             )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    return small_arrow(with_spans(rows, length)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    lengths = [length, passage] if passage else [length]
+    return small_arrow(with_spans(rows, *lengths)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if passage else ""))
 
 
 def remove_repeats(docs: DataFrame, length: int) -> DataFrame:
@@ -345,9 +369,7 @@ def remove_repeats(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            valid = batch.column("text").is_valid().to_pylist()
-            texts = [k.decode("utf-8", "ignore") if ok else None for (_, k, _), ok in zip(_cut(batch), valid, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else batch.column(x) for x in fields], fields)
+            yield pa.RecordBatch.from_arrays([_texts(batch) if x == "text" else batch.column(x) for x in fields], fields)
 
     rows = docs.withColumn("text", docs["text"].cast("string"))
     return small_arrow(with_spans(rows, length)).mapInArrow(run, rows.schema)

@@ -1,5 +1,6 @@
 """Suffix-array deduplication against looking every window up."""
 
+import hashlib
 import random
 
 import pytest
@@ -62,3 +63,22 @@ def test_null_ids_extra_columns_and_empty_tables(spark):
     made = suffix_dedup.remove_repeats(docs, 40)
     assert sorted((r.text, r.rid) for r in made.collect() if r.text) == [("other words", None)]
     assert suffix_dedup.removal_report(docs.limit(0), 40).count() == 0
+
+
+def test_passages_shorter_than_the_length_are_taken_from_the_text(spark):
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    some = lambda n: " ".join(r.choice(words) for _ in range(n))
+    short, long = some(52), some(90)  # 311 and 539 bytes
+    rows = [(0, f"{some(40)} {short} {some(30)}"), (1, f"{some(25)} {short}"), (2, f"{some(10)} {long} {some(10)}"), (3, f"{long} {some(44)}"), (4, some(200)), (5, None), (5, ""), (None, some(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {(n, h) for n, _, _, h in repeats([t for _, t in rows], 400)}
+    made = suffix_dedup.removal_report(docs, 400, passage=200).collect()
+    assert {(x.n_bytes, x.kept_sha256) for x in made} == plain
+    by_id = {x.doc_id: x for x in made if x.doc_id is not None and x.doc_id != 5}
+    assert by_id[0].n_removed == by_id[1].n_removed == 0 and by_id[2].n_removed >= len(long) and by_id[3].n_removed >= len(long)
+    for i in range(5):
+        kept = repeats([t for _, t in rows], 200)[i][3]
+        assert hashlib.sha256(by_id[i].text.encode()).hexdigest() == kept
+    assert short not in by_id[0].text and short not in by_id[1].text and by_id[4].text == rows[4][1]
+    assert sorted(x.text is None for x in made if x.doc_id == 5) == [False, True]
