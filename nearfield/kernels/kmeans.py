@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+_ROWS = 8192
+
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)[None, :], 0)
@@ -29,14 +31,17 @@ def kmeans(x: np.ndarray, k: int, iterations: int = 20, seed: int = 0) -> np.nda
         np.minimum(nearest, ((x - centre[j]) ** 2).sum(axis=1), out=nearest)
     before = np.full(n, -1)
     for _ in range(iterations):
-        d = squared(x, centre)
-        label = d.argmin(axis=1)
+        label, loss = np.empty(n, np.int64), np.empty(n)
+        for i in range(0, n, _ROWS):  # never the whole table of distances
+            d = squared(x[i : i + _ROWS], centre)
+            label[i : i + _ROWS] = d.argmin(axis=1)
+            loss[i : i + _ROWS] = d.min(axis=1)
         size = np.bincount(label, minlength=k)
         sums = np.zeros((k, dim))
         np.add.at(sums, label, x)
         full = size > 0
         centre[full] = sums[full] / size[full, None]
-        far = np.argsort(-d[np.arange(n), label], kind="stable")
+        far = np.argsort(-loss, kind="stable")
         for j, i in zip(np.flatnonzero(~full), far, strict=False):
             centre[j] = x[i]
         changed = int((label != before).sum())

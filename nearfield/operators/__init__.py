@@ -78,10 +78,10 @@ def nearest_in_batches(batches: Iterator[pd.DataFrame], ids: list, matrix: np.nd
         yield pd.DataFrame({"q": np.repeat(np.array(ids), n), "key": best_i.ravel(), "distance": best_d.ravel()})
 
 
-def knn_join(queries: DataFrame, items: DataFrame, k: int, *, query_column: str = "embedding", query_key: str = "vec_id", column: str = "embedding", key: str = "vec_id", metric: str = "l2sq") -> DataFrame:
+def knn_join(queries: DataFrame, items: DataFrame, k: int, *, query_column: str = "embedding", query_key: str = "vec_id", column: str = "embedding", key: str = "vec_id", metric: str = "l2sq", outer: bool = False) -> DataFrame:
     """query_id, key, distance, rank for the k nearest items of each query.
 
-    Query blocks of a checked size are broadcast; each partition of the items
+    A query without a vector has no row, or with ``outer`` one row of nulls.  Query blocks of a checked size are broadcast; each partition of the items
     keeps its k nearest to each query, and only those are shuffled.
     """
     name = metric_name(metric)
@@ -94,7 +94,8 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int, *, query_column: str
             handle = items.sparkSession.sparkContext.broadcast((ids, matrix))
             found = found.unionAll(rows.mapInPandas(lambda batches, handle=handle: nearest_in_batches(batches, *handle.value, k, name), schema))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("distance").asc_nulls_last(), "key"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "key", "distance", "rank")
+    made = found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "key", "distance", "rank")
+    return queries.select(F.col(query_key).alias("query_id")).distinct().join(made, "query_id", "left") if outer else made
 
 
 def _score(metric: str, left: Column, right: Column) -> tuple[Column, bool]:
@@ -104,13 +105,23 @@ def _score(metric: str, left: Column, right: Column) -> tuple[Column, bool]:
 
 
 def vector_join(left: DataFrame, right: DataFrame, left_column: str, right_column: str, k: int, metric: str = "l2sq", *, left_key: str, right_key: str) -> DataFrame:
-    """score, left_tbl, right_tbl for the k best right rows of each left row."""
+    """score, left_tbl, right_tbl for the k best right rows of each left row.
+
+    Rows count by themselves on both sides: a key may be repeated, with equal or other
+    vectors.  A left row with a null vector has no match.
+    """
     name = metric_name(metric)
-    near = knn_join(left, right, k, query_column=left_column, query_key=left_key, column=right_column, key=right_key, metric=name)
-    rows = near.join(left.select(F.col(left_key).alias("query_id"), F.struct("*").alias("left_tbl")), "query_id")
-    rows = rows.join(right.select(F.col(right_key).cast("long").alias("key"), F.struct("*").alias("right_tbl")), "key")
-    score, _ = _score(name, F.col(f"left_tbl.{left_column}"), F.col(f"right_tbl.{right_column}"))
-    return rows.select(score.alias("score"), "left_tbl", "right_tbl")
+    rows = left.where(F.col(left_column).isNotNull()).select(F.xxhash64(F.col(left_column).cast("array<double>")).alias("q"), F.col(left_column).alias("w"), F.struct("*").alias("left_tbl"))
+    vectors = rows.select("q", "w").dropDuplicates(["q"])
+    near = knn_join(vectors, right, k, query_column="w", query_key="q", column=right_column, key=right_key, metric=name)
+    # the k nearest rows are among those of the keys found; a key may have several rows, with other vectors too
+    found = near.select(F.col("query_id").alias("q"), "key").distinct().join(vectors, "q")
+    found = found.join(right.select(F.col(right_key).cast("long").alias("key"), F.col(right_column).alias("v"), F.struct("*").alias("right_tbl")), "key")
+    found = found.withColumn("d", DISTANCES[name](F.col("w"), F.col("v"))).where("d is not null")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "key", F.xxhash64("v"), F.xxhash64("right_tbl")))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    score, _ = _score(name, F.col("w"), F.col("v"))
+    return found.select("q", score.alias("score"), "right_tbl").join(rows.select("q", "left_tbl"), "q").select("score", "left_tbl", "right_tbl")
 
 
 def vector_match(right: DataFrame, query: Sequence[float], right_column: str, k: int, metric: str = "l2sq", *, right_key: str) -> DataFrame:

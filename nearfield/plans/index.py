@@ -8,8 +8,9 @@ Layout below the index's path::
                  graphs: vec_id, version, code, partitioned by shard
     graphs/      graphs only: one pickled graph for each shard
     tombstones/  vec_id, version
+    versions/    one empty file for each version that a writer has taken
 
-A build trains on a bounded sample (the first rows by key); encoding,
+A build trains on a bounded sample (the first rows by a hash of the key); encoding,
 assignment and graph building run on the executors.  A search estimates
 distances from codes where the cells that the query probes (or the shards)
 lie, keeps ``k * rerank`` candidates, and ranks those by their exact distance to
@@ -39,6 +40,13 @@ from nearfield.operators import query_blocks
 from nearfield.plans import Options, setting
 
 QUANTIZER_SAMPLE, CENTROID_SAMPLE = 65_536, 131_072
+#: Candidates of a search that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    """Rows dealt by cell, so that a cell has few files; large cells are split, small ones put together."""
+    return rows.hint("rebalance", "cell")
 
 
 def _codes(batch: pd.Series) -> np.ndarray:
@@ -100,10 +108,14 @@ class VectorIndex:
                 self.centroids = kmeans(np.zeros((0, self.dim)), v["nlist"])
             return
         limit = CENTROID_SAMPLE if "nlist" in v else QUANTIZER_SAMPLE
-        sample = np.array([r.vec for r in rows.orderBy("vec_id").limit(limit).collect()], np.float64)
+        order = (F.xxhash64("vec_id"), F.col("vec_id"))
+        picked = rows.select("vec_id", F.col("vec").cast("array<float>").alias("vec")).orderBy(*order).limit(limit).select("vec").toArrow()
+        sample = picked.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, self.dim).astype(np.float64)
         self.quantizer.train(sample[:QUANTIZER_SAMPLE])
         if "nlist" in v:
-            self.centroids = kmeans(self._cell_space(sample), v["nlist"])
+            made = kmeans(self._cell_space(sample), v["nlist"])
+            _, first = np.unique(made, axis=0, return_index=True)
+            self.centroids = made[np.sort(first)]  # a small table repeats centroids; probes aren't spent on copies
 
     def _cell_space(self, x: np.ndarray) -> np.ndarray:
         return unit(x) if self.options.values.get("normalize_cells") else x
@@ -139,14 +151,14 @@ class VectorIndex:
             count = rows.count()
             shards = max(1, -(-count // self.options.values["shard_rows"]))
             first = version * 1_000_000
-            sharded = rows.withColumn("cell", (F.pmod(F.xxhash64("vec_id"), F.lit(shards)) + first).cast("int"))
-            encoded = sharded.mapInPandas(lambda b: handle.value._encoded(b, False), "vec_id long, code binary, cell int").withColumn("version", F.lit(version))
+            sharded = rows.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(shards)) + F.lit(first).cast("long"))
+            encoded = sharded.mapInPandas(lambda b: handle.value._encoded(b, False), "vec_id long, code binary, cell long").withColumn("version", F.lit(version))
             encoded.repartition("cell").sortWithinPartitions("vec_id").write.mode("append").partitionBy("cell").parquet(f"{self.path}/rows")
             mine = self._stored().where(F.col("cell").between(first, first + shards - 1))
-            mine.groupBy("cell").applyInPandas(lambda pdf: handle.value._built(pdf), "cell int, graph binary").write.mode("append").parquet(f"{self.path}/graphs")
+            mine.groupBy("cell").applyInPandas(lambda pdf: handle.value._built(pdf), "cell long, graph binary").write.mode("append").parquet(f"{self.path}/graphs")
         else:
-            encoded = rows.withColumn("cell", F.lit(0)).mapInPandas(lambda b: handle.value._encoded(b, True), "vec_id long, code binary, cell int").withColumn("version", F.lit(version))
-            encoded.write.mode("append").partitionBy("cell").parquet(f"{self.path}/rows")
+            encoded = rows.withColumn("cell", F.lit(0)).mapInPandas(lambda b: handle.value._encoded(b, True), "vec_id long, code binary, cell long").withColumn("version", F.lit(version))
+            _by_cell(encoded).write.mode("append").partitionBy("cell").parquet(f"{self.path}/rows")
 
     def __getstate__(self) -> dict:
         """For executors: the model without session and table."""
@@ -165,7 +177,7 @@ class VectorIndex:
                 continue
             cells = self.cells_of(x)
             at = np.repeat(np.arange(len(batch)), [len(c) for c in cells])
-            yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy()[at], "code": [codes[i] for i in at], "cell": np.concatenate(cells).astype(np.int32)})
+            yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy()[at], "code": [codes[i] for i in at], "cell": np.concatenate(cells).astype(np.int64)})
 
     def _built(self, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
@@ -177,7 +189,7 @@ class VectorIndex:
         return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "graph": [blob]})
 
     def _stored(self) -> DataFrame:
-        return self.spark.read.schema("vec_id long, code binary, version int, cell int").parquet(f"{self.path}/rows")
+        return self.spark.read.schema("vec_id long, code binary, version int, cell long").parquet(f"{self.path}/rows")
 
     def _tombstones(self) -> DataFrame:
         return self.spark.read.schema("vec_id long, version int").parquet(f"{self.path}/tombstones").groupBy("vec_id").agg(F.max("version").alias("dead"))
@@ -204,7 +216,7 @@ class VectorIndex:
         handle = self.spark.sparkContext.broadcast((self, ids, matrix))
         schema = f"q {kind}, vec_id long, version int, estimate double"
         if self._graph:
-            graphs = self.spark.read.schema("cell int, graph binary").parquet(f"{self.path}/graphs")
+            graphs = self.spark.read.schema("cell long, graph binary").parquet(f"{self.path}/graphs")
             width = max(effort, candidates + spare)
             return graphs.mapInPandas(lambda b: _graph_search(b, handle.value, candidates + spare, width), schema)
         order = np.argsort(squared(self._cell_space(matrix), self.centroids), axis=1, kind="stable")[:, :effort]
@@ -251,7 +263,8 @@ class VectorIndex:
         limit = max(0, k) + offset
         allowed = self.base.where(where) if where is not None and filter_mode == "pre" else None
         found = self.candidates([0], q[None, :], max(1, limit * self._rerank(rerank)), effort=effort, where=allowed).select("vec_id")
-        rows = self.base.join(F.broadcast(found), self.base[self.key] == found["vec_id"], "left_semi")
+        small = limit * self._rerank(rerank) <= BROADCAST_ROWS  # ids of eight bytes
+        rows = self.base.join(F.broadcast(found) if small else found, self.base[self.key] == found["vec_id"], "left_semi")
         if where is not None:
             rows = rows.where(where)
         exact = rows.withColumn("distance", DISTANCES[self.options.metric](self.column, q.tolist()))
@@ -283,17 +296,29 @@ class VectorIndex:
     # maintenance ---------------------------------------------------------------
 
     def _next_version(self) -> int:
+        """A version that no other writer has: the first one whose file this writer creates."""
         seen = self._stored().agg(F.max("version")).first()[0]
         dead = self.spark.read.parquet(f"{self.path}/tombstones").agg(F.max("version")).first()[0]
-        return max(-1 if seen is None else seen, -1 if dead is None else dead) + 1
+        version = max(-1 if seen is None else seen, -1 if dead is None else dead) + 1
+        context = self.spark.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path
+        files = place(self.path).getFileSystem(context._jsc.hadoopConfiguration())
+        while not files.createNewFile(place(f"{self.path}/versions/{version}")):
+            version += 1
+        return version
 
     def insert(self, rows: DataFrame) -> None:
-        """Add rows with the trained model; a known id's older entry no longer counts."""
+        """Add rows with the trained model; a known id's older entry no longer counts.
+
+        Rows are written before the tombstones of their older entries: if the writer
+        ends in between, both entries count, and none is lost.
+        """
         version = self._next_version()
         new = self._rows(rows, self.column, self.key)
-        known = new.join(self._stored().select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", F.lit(version).alias("version"))
-        known.write.mode("append").parquet(f"{self.path}/tombstones")
         self._append(new, version)
+        older = self._stored().where(F.col("version") < version).select("vec_id").distinct()
+        known = new.join(older, "vec_id", "left_semi").select("vec_id", F.lit(version).alias("version"))
+        known.write.mode("append").parquet(f"{self.path}/tombstones")
 
     def delete(self, ids: DataFrame) -> None:
         """Ids in the key column no longer count; unknown ones are ignored."""
@@ -308,12 +333,12 @@ class VectorIndex:
         self.spark.createDataFrame([], "vec_id long, version int").write.parquet(f"{new.path}/tombstones")
         live = self._live(self._stored()).withColumn("version", F.lit(0))
         if not self._graph:
-            live.write.partitionBy("cell").parquet(f"{new.path}/rows")
+            _by_cell(live).write.partitionBy("cell").parquet(f"{new.path}/rows")
             return new
         shards = max(1, -(-live.count() // self.options.values["shard_rows"]))
-        live.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).repartition("cell").write.partitionBy("cell").parquet(f"{new.path}/rows")
+        live.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).repartition("cell").write.partitionBy("cell").parquet(f"{new.path}/rows")
         handle = self.spark.sparkContext.broadcast(new)
-        new._stored().groupBy("cell").applyInPandas(lambda pdf: handle.value._built(pdf), "cell int, graph binary").write.parquet(f"{new.path}/graphs")
+        new._stored().groupBy("cell").applyInPandas(lambda pdf: handle.value._built(pdf), "cell long, graph binary").write.parquet(f"{new.path}/graphs")
         return new
 
     def drop(self) -> None:

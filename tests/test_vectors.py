@@ -1,6 +1,8 @@
 """Kernels against brute force, the options matrix, and an index's life."""
 
+import glob
 import itertools
+import os
 import warnings
 
 import numpy as np
@@ -132,3 +134,84 @@ def test_recall_of_index_joins(spark, name):
         found[r.query_id].add(r.key)
     assert len(found) == 20 and all(len(x) == queries.K for x in found.values())
     assert recall([found[q] for q in exact], list(exact.values())) >= 0.9
+
+
+def test_join_counts_rows_of_repeated_keys(spark):
+    rows = [(1, [0.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (2, None, "c"), (3, [3.0, 0.0], "d"), (3, [3.0, 0.0], "d")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, tag string")
+    made = operators.vector_join(table, table, "embedding", "embedding", 2, left_key="vec_id", right_key="vec_id").collect()
+    pairs = sorted((r.left_tbl.tag, r.right_tbl.tag, r.score) for r in made)
+    assert pairs == [("a", "a", 0.0), ("a", "b", 1.0), ("b", "a", 1.0), ("b", "b", 0.0)] + [("d", "d", 0.0)] * 4
+
+
+def test_a_query_without_a_vector_stays_in_an_outer_join(spark):
+    table = spark.createDataFrame([(1, [0.0]), (2, None), (3, [1.0])], "vec_id long, embedding array<double>")
+    made = operators.knn_join(table, table, 1, outer=True).collect()
+    assert sorted((r.query_id, r.key) for r in made if r.key is not None) == [(1, 1), (3, 3)]
+    assert [r.query_id for r in made if r.key is None] == [2]
+
+
+def test_every_accepted_combination_is_built_and_searched(spark, tmp_path):
+    values = np.random.default_rng(4).normal(size=(40, 16)).round(3)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(values)], "vec_id long, embedding array<float>").cache()
+    small = {"hnsw": {}, "ivf": {"nlist": 4, "nprobe": 4}, "spann": {"nlist": 4, "nprobe": 4, "replica_count": 2}, "diskann": {"degree": 8, "l_build": 40}}
+    tried = 0
+    for algorithm, options in small.items():
+        for quantizer in ("flat", "rabitq", "pq", "scann"):
+            for metric in ("l2sq", "cosine", "ip"):
+                try:
+                    Options.of(algorithm, metric, quantizer)
+                except ValueError:
+                    continue
+                more = {"bits": 4, "pq_m": 4} if quantizer in ("pq", "scann") else {}
+                index = VectorIndex.build(table, str(tmp_path / f"{algorithm}-{quantizer}-{metric}"), algorithm, metric=metric, quantizer=quantizer, rerank=4, **options, **more)
+                found = [r.vec_id for r in index.search(values[7].tolist(), 10).collect()]
+                exact = [r.vec_id for r in operators.knn(table, values[7].tolist(), 10, metric=metric).collect()]
+                assert len(found) == 10 and len(set(found) & set(exact)) >= 9, (algorithm, quantizer, metric)
+                tried += 1
+    assert tried == 37
+
+
+def test_an_insert_that_ends_early_loses_nothing(spark, grid, tmp_path, monkeypatch):
+    index = VectorIndex.build(grid, str(tmp_path / "i"), "ivf", nlist=4, nprobe=4)
+    before = len(glob.glob(str(tmp_path / "i/tombstones/*.parquet")))
+    moved = grid.limit(3)
+    kept = VectorIndex._append
+
+    def ends(self, rows, version):
+        kept(self, rows, version)
+        raise RuntimeError("ended")
+
+    monkeypatch.setattr(VectorIndex, "_append", ends)
+    with pytest.raises(RuntimeError):
+        index.insert(moved)
+    monkeypatch.undo()
+    assert len(glob.glob(str(tmp_path / "i/tombstones/*.parquet"))) == before
+    found = index._live(index._stored()).select("vec_id").distinct().count()
+    assert found == grid.where("embedding is not null").count()
+    taken = sorted(os.listdir(tmp_path / "i/versions"))
+    index.insert(moved)
+    assert len([x for x in os.listdir(tmp_path / "i/versions") if not x.startswith(".")]) == len([x for x in taken if not x.startswith(".")]) + 1
+    assert index._live(index._stored()).count() == found
+
+
+def test_files_of_an_index_are_bounded_by_its_cells(spark, grid, tmp_path):
+    VectorIndex.build(grid.repartition(16), str(tmp_path / "f"), "ivf", nlist=16)
+    assert len(glob.glob(str(tmp_path / "f/rows/*/*.parquet"))) <= 2 * 16
+
+
+def test_settings_order_and_the_drop_guard(spark, grid, tmp_path):
+    index = VectorIndex.build(grid, str(tmp_path / "s"), "ivf", nlist=16, nprobe=3)
+    assert (index._effort(None), index._effort(5), index._effort(99)) == (3, 5, 16)
+    spark.conf.set("vindex_nprobe", "7")
+    assert (index._effort(None), index._effort(5)) == (7, 5)
+    spark.conf.set("vindex_nprobe", "0")
+    assert index._effort(None) == 3
+    spark.conf.unset("vindex_nprobe")
+    catalog = Catalog()
+    catalog.register("i", "t", index)
+    with pytest.raises(ValueError):
+        catalog.check_drop_column("t", "embedding")
+    catalog.check_drop_column("t", "tag")
+    catalog.drop("i")
+    catalog.check_drop_column("t", "embedding")
