@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.common import small_arrow
 from nearfield.llm.kernels import GOLDEN, U64, Texts, mix64, shingle_sets, small_batches, texts_of
 from nearfield.llm.minhash import signature
 
@@ -69,46 +70,57 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -
             made = fingerprints_of(texts_of(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in fields), pa.array(made, pa.string())], [*fields, out])
 
-    return docs.mapInArrow(run, schema.add(out, "string"))
+    return small_arrow(docs).mapInArrow(run, schema.add(out, "string"))
 
 
 _NO_ID = -(1 << 63)
 
 
 def _with_neighbours(docs: DataFrame) -> DataFrame:
-    """doc_id, text, bucket, ghost: rows dealt to buckets of consecutive ids.
+    """doc_id, text, key, bucket, ghost: rows dealt to buckets of consecutive keys.
+
+    A row's key is its id and a hash of its text, as bytes in ascending order, so
+    a repeated id is no bucket's burden; each bucket is a partition.
 
     A bucket also gets, as ghosts, the first rows of the bucket after it (after
     the last one comes the first), so the successor of each of its rows in
-    descending doc_id is in the bucket.  The bounds come from a sort of the ids
-    alone; the driver gets one pair for each partition.
+    descending order is in the bucket.  The bounds come from a sort of the keys
+    alone; the driver gets one for each partition.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("hash"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tops = ids.repartitionByRange(parts, F.col("id").desc()).groupBy(F.spark_partition_id().alias("p")).agg(F.max("id").alias("top"))
-    bounds = sorted({r.top for r in tops.collect()})  # the largest id of each bucket, ascending
+    tops = keyed.select("id", "hash").repartitionByRange(parts, F.col("id").desc(), F.col("hash").desc()).groupBy(F.spark_partition_id().alias("p")).agg(F.max(F.struct("id", "hash")).alias("top"))
+    tops = tops.select("top.id", "top.hash").collect()
+    bounds = np.unique(_keys(np.array([r.id for r in tops], np.int64), np.array([r.hash for r in tops], np.int64)))  # the largest key of each bucket
     count = len(bounds)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = np.searchsorted(np.array(bounds), key)  # its bucket is the one of the next larger top
+            key = _keys(batch.column("id").to_numpy(), batch.column("hash").to_numpy())
+            rank = np.searchsorted(bounds, key)  # its bucket is the one of the next larger top
             bucket = count - 1 - rank
-            first = np.flatnonzero(np.array(bounds)[rank] == key)
+            first = np.flatnonzero(bounds[rank] == key)
             take = np.concatenate([np.arange(len(key)), first])
             dealt = np.concatenate([bucket, (bucket[first] - 1) % count])
             ghost = np.arange(len(take)) >= len(key)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(take)), batch.column("text").take(pa.array(take)), pa.array(key[take]), pa.array(dealt.astype(np.int64)), pa.array(ghost)],
+                [batch.column("doc_id").take(pa.array(take)), batch.column("text").take(pa.array(take)), pa.array([x.tobytes() for x in key.view(np.uint8).reshape(-1, 16)[take]], pa.binary()), pa.array(dealt.astype(np.int32)), pa.array(ghost)],
                 ["doc_id", "text", "key", "bucket", "ghost"],
             )
 
     if not count:
-        return docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("bucket"), F.lit(False).alias("ghost"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = dealt.mapInArrow(deal, "doc_id long, text string, key long, bucket long, ghost boolean")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "ghost", F.col("key").desc(), F.col("text"))
+        return rows.select("doc_id", "text", F.lit(b"").alias("key"), F.lit(0).alias("bucket"), F.lit(False).alias("ghost"))
+    dealt = small_arrow(keyed).mapInArrow(deal, "doc_id long, text string, key binary, bucket int, ghost boolean")
+    return dealt.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "ghost", F.col("key").desc(), F.col("text"))
+
+
+def _keys(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """16 bytes of each row that sort as (id, hash) does."""
+    sign = np.uint64(1 << 63)
+    both = np.stack([ids.astype(np.int64).view(np.uint64) ^ sign, hashes.astype(np.int64).view(np.uint64) ^ sign], axis=1)
+    return np.ascontiguousarray(both.astype(">u8")).view("S16").ravel()
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
@@ -116,7 +128,7 @@ def edit_report(docs: DataFrame) -> DataFrame:
 
     The edited text is the text whose last floor(n/3) code points are replaced
     by the first as many (or all) of the next document in descending doc_id
-    (null ids come last; repeated ids are ordered by text; after the last
+    (null ids come last; repeated ids are ordered by a hash of their text; after the last
     document comes the first).
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -154,4 +166,4 @@ def edit_report(docs: DataFrame) -> DataFrame:
         if ready:
             yield report(ready)
 
-    return _with_neighbours(docs).mapInArrow(run, schema)
+    return small_arrow(_with_neighbours(docs)).mapInArrow(run, schema)
