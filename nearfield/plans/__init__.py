@@ -9,17 +9,14 @@ from pyspark.sql import SparkSession
 from nearfield.functions import metric_name
 from nearfield.kernels import quantizers
 
-#: Session settings, each with its older name; a call's argument goes before them, the index's own option after.
-SETTINGS = {"ef_search": ("vindex_ef_search", "hnsw_ef_search"), "nprobe": ("vindex_nprobe",), "l_search": ("vindex_diskann_l_search",), "rerank": ("vindex_rerank_multiple",)}
+#: Session settings; a call's argument goes before them, the index's own option after.
+SETTINGS = {"ef_search": "nearfield.ef_search", "nprobe": "nearfield.nprobe", "l_search": "nearfield.l_search", "rerank": "nearfield.rerank"}
 
 
 def setting(spark: SparkSession, name: str) -> int | None:
     """A session setting, if it is set to a positive number."""
-    for key in SETTINGS[name]:
-        value = spark.conf.get(key, None)
-        if value is not None and int(value) > 0:
-            return int(value)
-    return None
+    value = spark.conf.get(SETTINGS[name], None)
+    return int(value) if value is not None and int(value) > 0 else None
 
 
 _LIMITS = {

@@ -203,11 +203,11 @@ def test_files_of_an_index_are_bounded_by_its_cells(spark, grid, tmp_path):
 def test_settings_order_and_the_drop_guard(spark, grid, tmp_path):
     index = VectorIndex.build(grid, str(tmp_path / "s"), "ivf", nlist=16, nprobe=3)
     assert (index._effort(None), index._effort(5), index._effort(99)) == (3, 5, 16)
-    spark.conf.set("vindex_nprobe", "7")
+    spark.conf.set("nearfield.nprobe", "7")
     assert (index._effort(None), index._effort(5)) == (7, 5)
-    spark.conf.set("vindex_nprobe", "0")
+    spark.conf.set("nearfield.nprobe", "0")
     assert index._effort(None) == 3
-    spark.conf.unset("vindex_nprobe")
+    spark.conf.unset("nearfield.nprobe")
     catalog = Catalog()
     catalog.register("i", "t", index)
     with pytest.raises(ValueError):
