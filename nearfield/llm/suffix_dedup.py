@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import only_last_stays, small_arrow, stage
+from nearfield.llm.common import only_last_stays, only_wanted, small_arrow, stage
 from nearfield.llm.kernels import U64, Texts, mix64, seeds, small_batches, texts_of
 from nearfield.llm.suffix_sort import deep_shallow
 
@@ -276,20 +276,39 @@ SPANS, _RID, _TH = "__nf_spans", "__nf_rid", "__nf_th"
 def with_spans(docs: DataFrame, *lengths: int) -> DataFrame:
     """``docs`` with SPANS: repeated byte runs (b, e) of each text, sorted; they may overlap.
 
-    A second, third length is answered in the columns SPANS_1, SPANS_2.
+    A second, third length is answered in the columns SPANS_1, SPANS_2.  All parts
+    of a repeated string are repeated too, so a length is sought only in texts
+    with a run of so many bytes at the next shorter one.
     """
     rows = docs.withColumn("text", docs["text"].cast("string"))
     rows = rows.withColumns({_RID: F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)), _TH: F.xxhash64("text")})
     names = [f"{SPANS}_{i}" if i else SPANS for i in range(len(lengths))]
-    out = rows
-    for name, length in zip(names, lengths, strict=True):
+    out = within = rows
+    shorter = None
+    for length, name in sorted(zip(lengths, names, strict=True)):
+        if shorter is not None:
+            wanted = shorter.where(_longest(F.col("__nf_parts")) >= length).select(F.xxhash64(_RID, _TH).alias("key"))
+            within = only_wanted(rows.withColumn("__nf_key", F.xxhash64(_RID, _TH)), "__nf_key", wanted).drop("__nf_key")
         with only_last_stays():
-            found = stage(_repeats(rows, length), "spans")
-        out = out.join(found.withColumnRenamed("__nf_parts", name), [_RID, _TH], "left")
+            shorter = stage(_repeats(within, length), "spans")
+        out = out.join(shorter.withColumnRenamed("__nf_parts", name), [_RID, _TH], "left")
     none = F.array().cast("array<struct<b:int,e:int>>")
     return out.select(*docs.columns, *(F.coalesce(x, none).alias(x) for x in names))
 
 
+def _longest(parts: Column) -> Column:
+    """Bytes of the longest run that sorted parts (b, e) cover together."""
+
+    def add(run: Column, part: Column) -> Column:
+        goes_on = part["b"] <= run["e"]
+        b = F.when(goes_on, run["b"]).otherwise(part["b"])
+        e = F.when(goes_on, F.greatest(run["e"], part["e"])).otherwise(part["e"])
+        return F.struct(b.alias("b"), e.alias("e"), F.greatest(run["most"], e - b).alias("most"))
+
+    none = F.struct(F.lit(0).alias("b"), F.lit(-1).alias("e"), F.lit(0).alias("most"))
+    return F.aggregate(parts, none, add, lambda run: run["most"])
+
+
 def _repeats(rows: DataFrame, length: int) -> DataFrame:
     """The repeated runs of each text that has any, by _RID and _TH."""
     found = _anchor_rows(rows.select(F.col(_RID).alias("rid"), F.col(_TH).alias("th"), "text"), length)

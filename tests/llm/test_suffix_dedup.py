@@ -56,6 +56,19 @@ def test_removal_is_exact(spark, monkeypatch, seed, hot):
         assert (made[i].n_bytes, made[i].n_removed, made[i].n_spans, made[i].kept_sha256) == expected
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_a_longer_length_is_exact_though_sought_in_some_texts_only(spark, seed):
+    rows = corpus(seed)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    made = {r.doc_id: r for r in suffix_dedup.removal_report(docs, 60, passage=40).collect()}
+    runs = {r.doc_id: r for r in suffix_dedup.with_spans(docs, 60, 40).collect()}
+    for i, (long, short) in enumerate(zip(repeats(rows, 60), repeats(rows, 40), strict=True)):
+        assert (made[i].n_bytes, made[i].n_removed, made[i].n_spans, made[i].kept_sha256) == long
+        raw = (rows[i] or "").encode()
+        kept, n = suffix_dedup.removed(raw, [(s.b, s.e) for s in runs[i][f"{suffix_dedup.SPANS}_1"]])
+        assert (len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()) == short[1:]
+
+
 def test_null_ids_extra_columns_and_empty_tables(spark):
     text = "abcdefghijklmnopqrstuvwxyz" * 4
     rows = [(None, text, 1, "x"), (1, text, 2, "y"), (1, "other words", 3, None), (2, None, 4, "z")]
