@@ -91,6 +91,10 @@ SQL_FUNCTIONS = {
 
 
 def register(spark: SparkSession) -> None:
-    """Make the distances usable from ``spark.sql``."""
+    """Make the distances usable from ``spark.sql``.
+
+    Spark takes no such function right in ORDER BY: name it in the select list and
+    order by the name, or use ``Catalog.sql``.
+    """
     for name, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}")

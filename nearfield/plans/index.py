@@ -249,6 +249,15 @@ class VectorIndex:
         rank = F.row_number().over(Window.partitionBy("q").orderBy("estimate", "vec_id"))
         return found.select("q", "vec_id", "estimate").withColumn("place", rank).where(F.col("place") <= candidates)
 
+    def near_ids(self, query: Sequence[float], limit: int, *, rerank: int | None = None, effort: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+        """``__nf_near``: ids of the candidates for the ``limit`` nearest rows; broadcast if they are few."""
+        q = np.asarray(query, np.float64)
+        if len(q) != self.dim:
+            raise ValueError(f"the query has {len(q)} dimensions, the index {self.dim}")
+        wanted = max(1, limit * self._rerank(rerank))
+        found = self.candidates([0], q[None, :], wanted, effort=effort, where=allowed).select(F.col("vec_id").alias("__nf_near"))
+        return F.broadcast(found) if wanted <= BROADCAST_ROWS else found  # ids of eight bytes
+
     def search(self, query: Sequence[float], k: int, *, rerank: int | None = None, effort: int | None = None, offset: int = 0, where: Column | str | None = None, filter_mode: str = "pre") -> DataFrame:
         """The k nearest base rows by exact distance among the candidates, with ``distance``.
 
@@ -262,9 +271,8 @@ class VectorIndex:
             raise ValueError(f"the query has {len(q)} dimensions, the index {self.dim}")
         limit = max(0, k) + offset
         allowed = self.base.where(where) if where is not None and filter_mode == "pre" else None
-        found = self.candidates([0], q[None, :], max(1, limit * self._rerank(rerank)), effort=effort, where=allowed).select("vec_id")
-        small = limit * self._rerank(rerank) <= BROADCAST_ROWS  # ids of eight bytes
-        rows = self.base.join(F.broadcast(found) if small else found, self.base[self.key] == found["vec_id"], "left_semi")
+        found = self.near_ids(query, limit, rerank=rerank, effort=effort, allowed=allowed)
+        rows = self.base.join(found, self.base[self.key] == found["__nf_near"], "left_semi")
         if where is not None:
             rows = rows.where(where)
         exact = rows.withColumn("distance", DISTANCES[self.options.metric](self.column, q.tolist()))
