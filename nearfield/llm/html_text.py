@@ -25,6 +25,7 @@ import html as html_entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -99,6 +100,7 @@ def parse(source: str) -> Page:
     ends: dict[str, dict[int, int]] = {}
     nodes: list[int] = [0]  # open blocks
     stack: list[str] = []  # open elements, blocks and others
+    opened: Counter[str] = Counter()  # how often a name is in the stack
     parts: list[str] = []
     linked = 0
     depth_link = 0
@@ -120,12 +122,21 @@ def parse(source: str) -> Page:
         nonlocal depth_link
         while len(stack) > to:
             name = stack.pop()
+            opened[name] -= 1
             if name in _BLOCK or name in _APART:
                 flush()
                 nodes.pop()
             elif name == "a":
                 depth_link -= 1
 
+    def close_last(name: str) -> None:
+        """Close the innermost element of a name and all within it; looks at those only."""
+        if opened[name]:
+            i = len(stack) - 1
+            while stack[i] != name:
+                i -= 1
+            close(i)
+
     at, size = 0, len(source)
     while at < size:
         m = _TAG.search(source, at)
@@ -161,10 +172,10 @@ def parse(source: str) -> Page:
             if name in _APART and m[0].endswith("/>"):
                 continue
             if name in _BLOCK or name in _APART:
-                if name in _BLOCK and "p" in stack:
-                    close(len(stack) - 1 - stack[::-1].index("p"))
-                if name in _CLOSES:
-                    closes, shield = _CLOSES[name]
+                if name in _BLOCK:
+                    close_last("p")
+                closes, shield = _CLOSES.get(name, ((), ()))
+                if any(opened[x] for x in closes):
                     for i in range(len(stack) - 1, -1, -1):
                         if stack[i] in shield:
                             break
@@ -186,12 +197,10 @@ def parse(source: str) -> Page:
             elif name == "a":
                 depth_link += 1
             stack.append(name)
+            opened[name] += 1
             continue
-        name = m[3]
-        if name:
-            name = name.lower()
-            if name in stack:
-                close(len(stack) - 1 - stack[::-1].index(name))
+        if m[3]:
+            close_last(m[3].lower())
     close(0)
     flush()
     return page

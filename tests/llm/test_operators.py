@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -260,3 +261,10 @@ def test_html_keeps_formulas_and_fallbacks():
     for kept in ("x = 1".replace(" ", ""), "hold,", "axis label", "as drawn.", "fallback of it", "shown instead", "after the button", "last"):
         assert kept in text
     assert not any(gone in text for gone in ("var", "pressed", "chosen"))
+
+
+def test_html_of_deep_nesting_is_read_in_proportion_to_its_length():
+    began = time.monotonic()
+    for source in ("<div>" * 20000 + "</x>" * 20000 + "end", "<div>" * 20000 + "<b>a</b>" * 20000, "<i>" * 20000 + "<li>x" * 20000):
+        assert html_text.parse(source).pieces
+    assert time.monotonic() - began < 20  # minutes, if each tag looked at the whole stack
