@@ -21,9 +21,9 @@ depend on it.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter,
 or if nothing could be learned; the score is the language's posterior under a
-temperature, and ``rejected`` tells that the cross-entropy lies beyond what a
-bounded sample of the training documents of that language shows.  Ties go to
-the smaller language name.  Rows with null ids are scored like others.
+temperature, and ``rejected`` tells that the cross-entropy lies beyond what the
+training documents of that language show, all of which are scored for that.
+Ties go to the smaller language name.  Rows with null ids are treated like others.
 """
 
 from __future__ import annotations
@@ -43,7 +43,6 @@ from nearfield.llm.kernels import small_batches
 ORDER = 4
 CODE_BITS = 12
 MAX_GRAMS = 4_000_000
-CALIBRATION_DOCS = 2_000
 TEMPERATURE = 40.0
 _BLOCK = 1 << 20
 
@@ -357,18 +356,21 @@ def _discounts(table: DataFrame) -> dict[int, float]:
 
 
 def _calibrate(model: ShardedModel, known: DataFrame) -> None:
-    """A language's limit: four deviations above the mean of a bounded sample of its texts."""
-    sample = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCS)
-    seen = known.select("doc_id", "text").join(F.broadcast(sample.distinct()), "doc_id")
+    """A language's limit: four deviations above the mean of all its training texts that have a gram."""
+    number = {lang: j for j, lang in enumerate(model.languages)}
+    model.limits = np.full(len(number), np.inf)
+    if not number:
+        return
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            entropy, letters = model.entropies(batch.column("text").to_pylist())
-            at = np.searchsorted(model.languages, batch.column("lang").to_pylist())
-            ok = (letters > 0) & (at < len(model.languages))
-            yield pa.RecordBatch.from_arrays([pa.array(at[ok], pa.int64()), pa.array(entropy[ok, at[ok]] if ok.any() else np.zeros(0))], ["at", "entropy"])
+            entropy, _ = model.entropies(batch.column("text").to_pylist())
+            at = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)  # not learned: none of its texts has a gram
+            own = entropy[np.arange(len(at)), at]
+            ok = (at >= 0) & (own != 0)
+            yield pa.RecordBatch.from_arrays([pa.array(at[ok], pa.int64()), pa.array(own[ok])], ["at", "entropy"])
 
-    found = small_arrow(seen).mapInArrow(run, "at long, entropy double").groupBy("at").agg(F.avg("entropy").alias("m"), F.stddev_pop("entropy").alias("s")).collect()
-    model.limits = np.full(len(model.languages), np.inf)
+    found = small_arrow(known.select("lang", "text")).mapInArrow(run, "at long, entropy double").groupBy("at").agg(F.avg("entropy").alias("m"), F.stddev_pop("entropy").alias("s")).collect()
     for r in found:
         model.limits[r["at"]] = r.m + 4 * max(r.s, 0.05)
 

@@ -239,6 +239,18 @@ def test_language_keeps_rare_grams_of_all_languages(spark, monkeypatch):
     assert all(made[i].lang_pred == lang for i, _, lang in rows)
 
 
+def test_language_limits_come_from_all_training_texts(spark):
+    r = random.Random(7)
+    rows = [(i, prose(r, r.randrange(4, 30)), "aa") for i in range(3000)] + [(4000 + i, "".join(chr(0x400 + r.randrange(200)) for _ in range(20)), "cc") for i in range(40)]
+    rows = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2] + [(None, "xyzw vuts", "lone"), (None, "qprs qprs qq", "lone")]
+    odd = [(5000, "zz", "bb"), (5000, "zz", "kk"), (5000, "a", "aa"), (5000, "12", "cc")]  # no gram: tells nothing of any language
+    model = language.train(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa", "cc", "lone"] and sum(x[2] == "aa" for x in rows) > 2000
+    for j, lang in enumerate(model.languages):
+        own = model.entropies([x[1] for x in rows if x[2] == lang])[0][:, j]
+        assert model.limits[j] == pytest.approx(own.mean() + 4 * max(own.std(), 0.05), rel=1e-9)
+
+
 def test_html(spark):
     trees = html_text.trained()
     r = random.Random(77)
