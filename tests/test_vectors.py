@@ -225,7 +225,7 @@ def close(spark):
     return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(values)], "vec_id long, embedding array<double>").cache()
 
 
-@pytest.mark.parametrize(("algorithm", "options"), [("ivf", {"nlist": 4, "nprobe": 4, "quantizer": "pq", "metric": "ip", "rerank": 10}), ("ivf", {"nlist": 4, "nprobe": 4, "quantizer": "rabitq", "bits": 3, "rerank": 10})])
+@pytest.mark.parametrize(("algorithm", "options"), [("ivf", {"nlist": 4, "nprobe": 4, "quantizer": "pq", "metric": "ip", "rerank": 10}), ("ivf", {"nlist": 4, "nprobe": 4, "quantizer": "rabitq", "bits": 3, "rerank": 10}), ("ivf", {"nlist": 4, "nprobe": 4, "quantizer": "scann", "rerank": 10})])
 def test_codes_lose_no_neighbour_in_the_cells_probed(spark, close, tmp_path, algorithm, options):
     options = {"pq_m": 4, "bits": 4} | options if options["quantizer"] != "rabitq" else options
     index = VectorIndex.build(close, str(tmp_path / "c"), algorithm, **options)
