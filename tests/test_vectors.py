@@ -236,3 +236,10 @@ def test_codes_lose_no_neighbour_in_the_cells_probed(spark, close, tmp_path, alg
         assert [r.vec_id for r in index.search(query, 10).collect()] == exact
         odd = [r.vec_id for r in operators.knn(close, query, 10, metric=metric, where="vec_id % 3 = 1", offset=2).collect()]
         assert [r.vec_id for r in index.search(query, 10, where="vec_id % 3 = 1", offset=2).collect()] == odd
+
+
+def test_a_join_loses_no_neighbour_in_the_cells_probed(spark, close, tmp_path):
+    index = VectorIndex.build(close, str(tmp_path / "j"), "spann", nlist=8, nprobe=8, replica_count=4, closure_factor=4.0, quantizer="scann", pq_m=4, bits=4, rerank=2)
+    asked = close.where("vec_id % 100 = 0")
+    exact = sorted((r.query_id, r.key, r.rank) for r in operators.knn_join(asked, close, 10).collect())
+    assert sorted((r.query_id, r.key, r.rank) for r in index.knn_join(asked, 10).collect()) == exact
