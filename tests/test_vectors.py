@@ -258,6 +258,7 @@ SMALL_HNSW, SMALL_DISKANN = {"graph_m": 4, "ef_construction": 8, "ef_search": 10
 
 @pytest.mark.parametrize(("algorithm", "options"), [
     ("diskann", SMALL_DISKANN | {"quantizer": "pq", "pq_m": 4, "bits": 4}),
+    ("diskann", SMALL_DISKANN | {"quantizer": "rabitq", "bits": 4}),
 ])
 def test_a_graph_widens_its_beam_until_it_finds_the_nearest(spark, close, tmp_path, algorithm, options):
     index = VectorIndex.build(close, str(tmp_path / "g"), algorithm, **options)
