@@ -260,6 +260,7 @@ SMALL_HNSW, SMALL_DISKANN = {"graph_m": 4, "ef_construction": 8, "ef_search": 10
     ("diskann", SMALL_DISKANN | {"quantizer": "pq", "pq_m": 4, "bits": 4}),
     ("diskann", SMALL_DISKANN | {"quantizer": "rabitq", "bits": 4}),
     ("hnsw", SMALL_HNSW | {"quantizer": "rabitq", "bits": 3}),
+    ("hnsw", SMALL_HNSW),
 ])
 def test_a_graph_widens_its_beam_until_it_finds_the_nearest(spark, close, tmp_path, algorithm, options):
     index = VectorIndex.build(close, str(tmp_path / "g"), algorithm, **options)
